@@ -34,9 +34,9 @@ def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tuned(spark: SparkSession) -> None:
+def tuned(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches that hold whole long texts in bounded memory; shuffle files go once a table is saved."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier
+from . import language_id, packing, quality_classifier, tokens, wavelet
 from .common import table, tuned
 
 
@@ -17,6 +17,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model, ["doc_id", "held_out"])
 
 
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark, rows=64)
+    files = wavelet.write(table(spark, sf_dir, "documents"), tokens.default_path())
+    return wavelet.digests(files)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokens.default_path()))
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings as grades: 0 toxic, 1 of low quality, 2 good."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
