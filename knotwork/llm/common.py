@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word cache; a full cache is emptied, so memory stays bounded.
-CACHE_WORDS = 250_000
+#: Entries of a worker's word cache, in each of two generations.
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,31 +45,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class WordCache(dict):
-    """``cache[word]`` computes a missing entry once; emptied between texts when full."""
+    """``cache[word]`` computes a missing entry once. A full cache becomes the older generation, from
+    which words in use come back, so memory stays bounded and frequent words stay."""
 
     def __init__(self, make: Callable, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, word):
-        value = self[word] = self.make(word)
+        value = self[word] = self.older[word] if word in self.older else self.make(word)
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
 
 
 class WordTable(dict):
-    """Row numbers of words in a growing matrix; row 0 holds zeros and stands for words without a row."""
+    """As WordCache, for row numbers of words in a growing matrix; row 0 holds zeros and stands for
+    words without a row."""
 
     def __init__(self, make: Callable, width: int, limit: int = CACHE_WORDS):
         super().__init__()
         self.make, self.limit, self.used = make, limit, 1
         self.matrix = np.zeros((1024, width), np.float32)
+        self.older, self.older_matrix = {}, self.matrix
 
     def __missing__(self, word):
-        row, at = self.make(word), 0
+        known, at = self.older.get(word), 0
+        row = (self.older_matrix[known] if known else None) if known is not None else self.make(word)
         if row is not None:
             if self.used == len(self.matrix):
                 self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
@@ -80,6 +85,7 @@ class WordTable(dict):
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.older, self.older_matrix = dict(self), self.matrix[: self.used].copy()
             self.clear()
             self.used = 1
 
