@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_classifier, tokens, wavelet
+from . import chat, language_id, packing, pq_neardup, quality_classifier, tokens, topk_search, wavelet
 from .common import table, tuned
 
 
@@ -23,6 +23,23 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digests(files)
 
 
+#: The conversation whose texts are control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(turns.unionByName(extra), tokens.default_path()))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokens.default_path()))
@@ -41,9 +58,37 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "expected_grade", "p_tail", (F.col("p_tail") >= 0.5).alias("kept"))
 
 
+def op8_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return pq_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_LIVE = """select vec_id, embedding, label from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+ORACLES = {
+    "op4_topk_search": f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from ({_LIVE})),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op8_pq_neardup": f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from ({_LIVE})
+  where label is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
+r as (select a as id, b as other from l union select r.id, l.b from r join l on r.other = l.a),
+n as (select a as id, count(*) as n from l group by a),
+c as (select id, min(other) as c from r group by id)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c, vec_id)) as kept
+from embeddings left join n on n.id = vec_id left join c on c.id = vec_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
