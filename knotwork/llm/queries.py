@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, language_id, packing, pq_neardup, quality_classifier, tokens, topk_search, wavelet
+from . import chat, jaccard_join, language_id, packing, pq_neardup, quality_classifier, suffix_dedup, tokens, topk_search, wavelet
 from .common import table, tuned
 
 
@@ -63,6 +63,11 @@ def op8_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     return jaccard_join.join(table(spark, sf_dir, "documents"))
