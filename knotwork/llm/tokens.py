@@ -11,12 +11,23 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 
 from .common import WordCache
 
 _TAIL = ".,;:!?|"
+#: Entries of each generation of the two caches; an entry takes about 200 bytes.
+_CACHED = 450_000
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, where it is
+    printable in Latin-1 and no space, else the next one from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def default_path() -> str:
@@ -37,14 +48,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = WordCache(lambda piece: self._piece(piece, " "))
-        self.plain = WordCache(lambda piece: self._piece(piece, ""))
+        self.model, self.chars = self.tokenizer.model, _byte_chars()
+        self.spaced = WordCache(lambda piece: self._piece(piece, " "), _CACHED)
+        self.plain = WordCache(lambda piece: self._piece(piece, ""), _CACHED)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str, before: str) -> bytes | None:
         """Ids of a piece; None if its ends don't allow a cut."""
+        if piece.isalpha() and max(piece) < "\u0250":  # one run of letters: the library's model alone
+            return array("I", [t.id for t in self.model.tokenize((before + piece).encode().decode("latin-1").translate(self.chars))]).tobytes()
         if not piece or _blank(piece[0]) or _blank(piece[-1]):
             return None
         if "<|" in piece:  # may hold an added token
