@@ -1,4 +1,43 @@
 """Registry of the engine's queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from knotwork.plans.graph_sql import PLANS
+from knotwork.sources import tables
+
+_BASE = ("benchmark", "conversations")
+
+
+def _views(plan: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", plan)))
+
+
+def spark_query(plan: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A plan over DataFrames; only the views it names are built, and Catalyst prunes the rest."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = {v: tables.read(spark, sf_dir, v) if v in _BASE else tables.VIEWS[v](spark, sf_dir) for v in _views(plan)}
+        ctes, mark, main = plan.partition("\n--\n")
+        return spark.sql(f"with {ctes}\n{main}" if mark else plan, **given)
+
+    return run
+
+
+def duckdb_query(plan: str) -> str:
+    wanted: list[str] = []
+    for view in _views(plan):
+        wanted += [*tables.NEEDS.get(view, []), view]
+    views = [f"{v} as {tables.SQL[v]}" for v in tables.SQL if v in wanted]
+    ctes, mark, main = plan.partition("\n--\n")
+    heads = [*views, *([ctes] if mark else [])]
+    text = (f"with {', '.join(heads)}\n" if heads else "") + (main if mark else plan)
+    return re.sub(r"\{(\w+)\}", r"\1", text).replace("\\\\|", "\\|")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: spark_query(plan) for name, plan in PLANS.items()}
+ORACLES: dict[str, str] = {name: duckdb_query(plan) for name, plan in PLANS.items()}
