@@ -168,15 +168,17 @@ def train(docs: DataFrame, graded: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 def score(docs: DataFrame, model: Model, keep: list[str], tail: int) -> DataFrame:
     """``keep`` columns of every row with latent, expected_grade and p_tail = P(grade >= ``tail``)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").alias("__text"))
     names = ["latent", "expected_grade", "p_tail"]
-    schema = reduce(lambda d, c: d.withColumn(c, F.lit(0.0)), names, source).drop("__text").schema
+    keep = [c for c in keep if c not in names]  # a result replaces a column of its name
+    of = "text" if "text" in keep else "__text"
+    source = docs.select(*keep, *([] if of == "text" else [F.col("text").alias(of)]))
+    schema = reduce(lambda d, c: d.withColumn(c, F.lit(0.0)), names, docs.select(*keep)).schema
 
     def run(it):
         model, cache = held.value, held.value.cache()
         for batch in it:
             s = []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(of).to_pylist():
                 s.append(model.latent(text, cache))
                 cache.trim()
             s = np.array(s, dtype=np.float64)

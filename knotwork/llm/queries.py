@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, language_id, packing, pq_neardup, quality_classifier, suffix_dedup, tokens, topk_search, wavelet
+from . import chat, jaccard_join, language_id, packing, pq_neardup, quality_classifier, sentencepiece_nbest, suffix_dedup, tokens, topk_search, wavelet
 from .common import table, tuned
 
 
@@ -40,6 +40,13 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op5_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    import public_tokenizers
+
+    return sentencepiece_nbest.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     return packing.pack(packing.cut(table(spark, sf_dir, "documents"), tokens.default_path()))

@@ -353,6 +353,6 @@ def kept_texts(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("rest")
             yield batch.set_column(at, "rest", pa.array(texts, pa.string()))
 
-    schema = docs.withColumn("rest", F.lit("")).schema
+    schema = docs.withColumn("rest", F.lit(None).cast("string")).schema
     changed = out.select(*columns, "rest").mapInArrow(clean, schema)
     return changed.withColumn("text", F.coalesce("rest", "text")).select(*columns)
