@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, components, mix64, saved
 
-#: Longest list whose pairs are formed one by one, and entries of a block of a longer one.
-SHORT_LIST, BLOCK = 64, 512
+#: Longest list whose pairs are formed one by one, entries of a block of a longer one, and rows of a block
+#: that are compared at a time.
+SHORT_LIST, BLOCK, STRIP = 64, 4096, 256
 #: A token is frequent if more sets have it in front than this, or than a 2**20th of all entries;
 #: so at most 2**20 tokens are broadcast.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
@@ -190,14 +191,16 @@ def _long_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
         n, pos, comp = (d[c].to_numpy(np.int64) for c in ("n_shingles", "position", "component_id"))
         size = min(map(len, d["bits"]))
         bits = np.unpackbits(np.stack([fold(np.frombuffer(b, np.uint8), size) for b in d["bits"]]), axis=1).astype(np.float32)
-        ones = bits.sum(axis=1)
-        apart = ones[:, None] + ones[None, :] - 2 * bits @ bits.T
-        least = needed(n[:, None], n[None, :], percent)
-        room = np.minimum(pos[:, None], pos[None, :]) + 1 + np.minimum((n - pos)[:, None], (n - pos)[None, :]) - 1
-        good = (comp[:, None] < comp[None, :]) & ((n[:, None] + n[None, :] - apart) // 2 >= least) & (room >= least)
-        i, j = np.nonzero(good)
-        ids = d["doc_id"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        ones, ids, out = bits.sum(axis=1), d["doc_id"].to_numpy(), []
+        for at in range(0, len(d), STRIP):
+            x = slice(at, at + STRIP)
+            apart = ones[x, None] + ones[None, :] - 2 * bits[x] @ bits.T
+            least = needed(n[x, None], n[None, :], percent)
+            room = np.minimum(pos[x, None], pos[None, :]) + np.minimum((n - pos)[x, None], (n - pos)[None, :])
+            i, j = np.nonzero((comp[x, None] < comp[None, :]) & ((n[x, None] + n[None, :] - apart) // 2 >= least) & (room >= least))
+            out.append(np.stack([np.minimum(ids[at + i], ids[j]), np.maximum(ids[at + i], ids[j])]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
     return paired.groupBy(*group, "i", "j").applyInPandas(match, "a long, b long").distinct()
 
