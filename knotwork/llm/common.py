@@ -120,7 +120,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of each endpoint: ``(id, component_id)`` from edges ``(a, b)``.
+    """Smallest reachable id of each endpoint that isn't itself it: ``(id, component_id)`` from edges ``(a, b)``.
 
     Alternating large-star and small-star steps; each round is two grouped minima
     over the edges, written to the shared folder, and the loop ends once the edges
