@@ -202,13 +202,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stretches (key, start, end) to remove from texts, and the texts (key, raw) that have any,
-    for ``rows(key, raw)``; texts that occur as a whole more than once are not told apart."""
+    for ``rows(doc_id, key, raw)``; texts that occur as a whole more than once are not told apart."""
 
     def find(it):
-        roll = Roller()
+        roll, seen = Roller(), set()  # a copy in the same task adds nothing
         for batch in it:
             keys, firsts, at, cores = [], [], [], []
             for key, raw in zip(batch.column("key").to_pylist(), batch.column("raw").to_pylist()):
+                if key in seen:
+                    continue
+                seen.add(key)
                 places, hashes = anchors(raw, roll)
                 keys.extend([key] * len(places))
                 firsts.append(np.full(len(places), int.from_bytes(key[:8], "little"), np.uint64))
@@ -221,13 +224,14 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [pa.array(core.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(keys, pa.binary()), pa.array(at)], names=["core", "mark", "key", "at"]
             )
 
-    long = rows.where(F.length("raw") >= LENGTH).select("key", "raw")
-    all_ = saved(long.mapInArrow(find, "core long, mark long, key binary, at long"))
+    long = rows.where(F.length("raw") >= LENGTH).select("key", F.coalesce("doc_id", F.lit(-1)).alias("of"), "raw")
+    all_ = saved(long.select("key", "raw").mapInArrow(find, "core long, mark long, key binary, at long"))
     # One place of one text has one mark, however many rows hold the text.
     shared = all_.groupBy("core").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low <> high").select("core", "n")
     places = all_.select("core", "key", "at").join(shared, "core").groupBy("key").agg(F.collect_set(F.struct("at", "core", "n")).alias("places"))
-    found = long.join(places, "key").groupBy("key").agg(F.first("raw").alias("raw"), F.first("places").alias("places"))
-    texts = saved(found)
+    # One row of each text: by key and id, so that the copies of a text don't meet in one task.
+    firsts = long.groupBy("key").agg(F.min("of").alias("of"))
+    texts = saved(long.join(places.join(firsts, "key"), ["key", "of"]).dropDuplicates(["key"]).select("key", "raw", "places"))
 
     def cut(it):
         for batch in it:
