@@ -6,7 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from knotwork.functions import text
+from knotwork.operators import graph, transitions, vectors
 from knotwork.plans.graph_sql import PLANS
 from knotwork.sources import tables
 
@@ -35,9 +38,76 @@ def duckdb_query(plan: str) -> str:
     views = [f"{v} as {tables.SQL[v]}" for v in tables.SQL if v in wanted]
     ctes, mark, main = plan.partition("\n--\n")
     heads = [*views, *([ctes] if mark else [])]
-    text = (f"with {', '.join(heads)}\n" if heads else "") + (main if mark else plan)
-    return re.sub(r"\{(\w+)\}", r"\1", text).replace("\\\\|", "\\|")
+    whole = (f"with {', '.join(heads)}\n" if heads else "") + (main if mark else plan)
+    return re.sub(r"\{(\w+)\}", r"\1", whole).replace("\\\\|", "\\|")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: spark_query(plan) for name, plan in PLANS.items()}
 ORACLES: dict[str, str] = {name: duckdb_query(plan) for name, plan in PLANS.items()}
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dense(tables.VIEWS["embeds"](spark, sf_dir))
+
+
+def near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_vectors(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def knn_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.suggest(_vectors(spark, sf_dir)).select("source", "target", "kind", F.round("score", 6).alias("score"), "pending")
+
+
+def dup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's nearest other one, where it is near enough to be its duplicate."""
+    found = vectors.nearest(_vectors(spark, sf_dir), 1).where("score >= 0.92")
+    return found.select(F.col("source").alias("id"), F.col("target").alias("duplicate_of"), F.round("score", 6).alias("score"))
+
+
+def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intent of each shown edge's source text towards its target text."""
+    texts = tables.nodes(spark, sf_dir).where("status <> 'tombstone'").select("id", "text")
+    pairs = transitions.live(tables.edges(spark, sf_dir), pending=False).select("id", "source", "target")
+    new, old = (texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in ("source", "target"))
+    kind = text.detect_intent(F.col("source_text"), F.col("target_text"))
+    return pairs.join(new, "source").join(old, "target").select("id", kind.alias("intent"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tables.nodes(spark, sf_dir).where("status <> 'tombstone'").select("id"), QUERIES["undirected_graph"](spark, sf_dir)
+
+
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.labels(*_graph(spark, sf_dir))
+
+
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.betweenness(*_graph(spark, sf_dir), sample=200)
+
+
+def distill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return transitions.distill(nodes, graph.labels(nodes, edges))
+
+
+def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions.consolidate(tables.nodes(spark, sf_dir)).select("id", "status")
+
+
+_COSINES = """with nodes as {nodes}, words as {words}, embeds as {embeds}, norm as (select id, sqrt(sum(w * w)) as n from embeds group by id),
+cos as (select x.id as a, y.id as b, sum(x.w * y.w) as dot from embeds x join embeds y on x.dim = y.dim and x.id {op} y.id group by 1, 2),
+scored as (select a, b, dot / (p.n * q.n) as score from cos join norm p on p.id = a join norm q on q.id = b),
+ranked as (select a, b, score, row_number() over (partition by a order by round(score, 9) desc, b) as rk from scored)
+"""
+
+
+def _cosine_sql(op: str, select: str) -> str:
+    return _COSINES.format(**tables.SQL, op=op) + select
+
+
+QUERIES |= {f.__name__: f for f in (near_dup, knn_suggest, dup_lookup, intent_detect, communities, betweenness, distill, consolidate)}
+ORACLES |= {
+    "near_dup": _cosine_sql("<", "select a, b, round(score, 6) as score from scored where score >= 0.78 and score < 0.92 + 1e-6"),
+    "knn_suggest": _cosine_sql("<>", "select a as source, b as target, case when round(score, 9) >= 0.75 then 'similar' else 'extends' end as kind, round(score, 6) as score, round(score, 9) < 0.95 as pending from ranked where rk <= 3 and round(score, 9) >= 0.45"),
+    "dup_lookup": _cosine_sql("<>", "select a as id, b as duplicate_of, round(score, 6) as score from ranked where rk = 1 and round(score, 9) >= 0.92"),
+}
