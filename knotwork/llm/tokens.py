@@ -59,6 +59,12 @@ class Encoder:
         """Ids of a piece; None if its ends don't allow a cut."""
         if piece.isalpha() and max(piece) < "\u0250":  # one run of letters: the library's model alone
             return array("I", [t.id for t in self.model.tokenize((before + piece).encode().decode("latin-1").translate(self.chars))]).tobytes()
+        body = piece.rstrip(_TAIL)
+        if body.isalpha() and max(body) < "\u0250":  # letters, then a run of punctuation
+            return (self.spaced if before else self.plain)[body] + self.plain[piece[len(body) :]]
+        if before and piece[:1] == "\n":  # from the fast path of ids(): a line break, no space before it
+            body = self.plain[piece[1:]] if piece[1:2] and not _blank(piece[1]) else None
+            return None if body is None else self.newline + body
         if not piece or _blank(piece[0]) or _blank(piece[-1]):
             return None
         if "<|" in piece:  # may hold an added token
@@ -67,9 +73,6 @@ class Encoder:
         if at > 0 and not _blank(piece[at - 1]) and not _blank(piece[at + 1]):
             left, right = (self.spaced if before else self.plain)[piece[:at]], self.plain[piece[at + 1 :]]
             return left + self.newline + right if left is not None and right is not None else None
-        body = piece.rstrip(_TAIL)
-        if body and body != piece and body[-1].isascii() and body[-1].isalpha():
-            return (self.spaced if before else self.plain)[body] + self.plain[piece[len(body) :]]
         return self._encode(before + piece)
 
     @property
@@ -81,10 +84,13 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        first, *pieces = text.split(" ")
+        # Line breaks between words end pieces too.
+        first, *pieces = text.replace("\n", " \n").split(" ")
         parts = list(map(self.spaced.__getitem__, pieces))
         parts.insert(0, self.plain[first])
         if None in parts:
+            first, *pieces = text.split(" ")
+            parts = [self.plain[first], *(None if p[:1] == "\n" else self.spaced[p] for p in pieces)]
             parts = self._joined([first, *pieces], parts)
         self.spaced.trim()
         self.plain.trim()

@@ -32,7 +32,7 @@ from .tokens import Encoder
 
 MAGIC = b"KWM1"
 #: Ids a shard's file holds before the next begins (a longer document has a file of its own).
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 _STEP = 512  # bits between directory entries
 
 
