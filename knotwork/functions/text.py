@@ -89,11 +89,12 @@ def clauses(text: Column) -> Column:
 def _says(clause: Column, marker: str, shared: Column) -> Column:
     """The marker stands in the clause; after one that needs an object, a shared word is one of the next two."""
     words = marker.split()
-    n, phrase = len(words), F.array(*map(F.lit, words))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(clause) - n + 1, F.lit(1))), lambda i: F.slice(clause, i, n) == phrase)
+    n, phrase, c = len(words), F.array(*map(F.lit, words)), clause["words"]
+    found = F.contains(clause["spaced"], F.lit(f" {marker} "))
     if words[0] not in OBJECT_MARKERS:
-        return F.size(places) > 0
-    return F.exists(places, lambda i: F.arrays_overlap(F.slice(clause, i + n, 2), shared))
+        return found
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.slice(c, i, n) == phrase)
+    return found & F.exists(places, lambda i: F.arrays_overlap(F.slice(c, i + n, 2), shared))
 
 
 def _in_clause(marker: str, shared: Column):
@@ -104,7 +105,10 @@ def detect_intent(new: Column, old: Column) -> Column:
     """supersedes, contradicts or continues, in this order, if a marker of it shares a clause of either
     text with a content word of both; else null."""
     shared = F.array_intersect(content_words(new), content_words(old))
-    both = F.filter(F.concat(clauses(new), clauses(old)), lambda c: F.arrays_overlap(c, shared))
+    both = F.transform(
+        F.filter(F.concat(clauses(new), clauses(old)), lambda c: F.arrays_overlap(c, shared)),
+        lambda c: F.struct(c.alias("words"), F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")).alias("spaced")),
+    )
     out = F.lit(None).cast("string")
     for kind in reversed(PRIORITY):
         hit = F.lit(False)
