@@ -28,7 +28,8 @@ from .common import WordCache, crc_of
 MARK = "▁"
 _BARE = "\0"  # before a word that doesn't begin with the mark
 N_BEST = 4
-_CACHED = 200_000
+_CACHED = 350_000
+_TAIL = ".,;:!?|"
 
 
 class Segmenter:
@@ -48,6 +49,14 @@ class Segmenter:
         # Words can be cut apart if no piece holds the mark after another character, or a line break.
         self.cut_words = not any(MARK in p.lstrip(MARK) for p in self.scored)
         self.cut_lines = self.cut_words and not any("\n" in p for p in self.scored)
+        # So can letters and the punctuation after them, where no piece holds both.
+        self.tail = "".join(c for c in _TAIL if not any(a.isalpha() and b == c for p in self.scored for a, b in zip(p, p[1:])))
+        # What a piece shows; bytes beyond ASCII are part of a character and are left to decode().
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        for b in range(128):
+            self.shown[self.bytes[b]] = chr(b)
+        self.partial = np.zeros(size, bool)
+        self.partial[self.bytes[128:]] = True
         self.cache = WordCache(self._best_of_key, _CACHED)
         self.paths = WordCache(lambda key: self.nbest(self._word(key), N_BEST), _CACHED // 8)
 
@@ -94,23 +103,44 @@ class Segmenter:
 
     def best(self, word: str) -> tuple[bytes, float, float]:
         """Ids and score of the best path, and what the second best loses (infinite without one)."""
-        edges, n = self.edges(word), len(word)
-        fore, via = self.forward(edges, n)
+        n, get, unknown, no = len(word), self.starts.get, self.unknown, -np.inf
+        fore, via, edges = [0.0] + [no] * n, [0] * (n + 1), []
+        for i in range(n):  # the forward pass makes the lattice on its way
+            here, known = fore[i], False
+            for j in range(i + 1, n + 1):
+                found = get(word[i:j], 0)
+                if not found:
+                    if found is None:
+                        continue
+                    break
+                score = found[0]
+                if here + score > fore[j]:
+                    fore[j] = here + score
+                    via[j] = len(edges)
+                edges.append((i, j, score, found[1]))
+                known = known or j == i + 1
+            if not known:
+                if here + unknown > fore[i + 1]:
+                    fore[i + 1] = here + unknown
+                    via[i + 1] = len(edges)
+                edges.append((i, i + 1, unknown, -1))
         ids, at, taken = [], n, set()
         while at:
-            taken.add(via[at])
-            ids.append(edges[via[at]][3])
-            at = edges[via[at]][0]
+            number = via[at]
+            taken.add(number)
+            at, end, _, own = edges[number]
+            ids.extend([own] if own >= 0 else [self.bytes[b] for b in reversed(word[at:end].encode("utf-8", "surrogatepass"))])
         # Any other path has an edge off the best one; the best through it is known from both ends.
-        back, total, through = [-np.inf] * n + [0.0], fore[n], -np.inf
-        for number in range(len(edges) - 1, -1, -1):
-            i, j, s, _ = edges[number]
-            rest = s + back[j]
+        back, through, number = [no] * n + [0.0], no, len(edges)
+        for i, j, score, _ in reversed(edges):
+            number -= 1
+            rest = score + back[j]
             if rest > back[i]:
                 back[i] = rest
-            if number not in taken and fore[i] + rest > through:
+            if fore[i] + rest > through and number not in taken:
                 through = fore[i] + rest
-        return array("I", [x for own in reversed(ids) for x in own]).tobytes(), total, max(total - through, 0.0)
+        ids.reverse()
+        return array("I", ids).tobytes(), fore[n], max(fore[n] - through, 0.0)
 
     def _word(self, key: str) -> str:
         return key[1:] if key[:1] == _BARE else MARK + key
@@ -126,6 +156,10 @@ class Segmenter:
                 if line:
                     parts.append(self.cache[_BARE + line])
             return b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts)
+        body = key.rstrip(self.tail)
+        if body != key and body[-1:].isalpha():
+            one, two = self.cache[body], self.cache[_BARE + key[len(body) :]]
+            return one[0] + two[0], one[1] + two[1], min(one[2], two[2])
         return self.best(self._word(key))
 
     def keys(self, text: str) -> list[str]:
@@ -136,6 +170,9 @@ class Segmenter:
         for number, part in enumerate(text.split(MARK)):
             if number:
                 out.append(_BARE + MARK)
+            if _BARE in part:  # the sign that keys use: one lattice for all of it
+                out.append(_BARE + ("" if number else MARK) + part.replace(" ", MARK))
+                continue
             if not number:
                 words = part.split(" ")
             elif not part:
@@ -146,6 +183,9 @@ class Segmenter:
                     out.append(_BARE + head)
                 if not words:
                     continue
+            if self.cut_lines and "\n" in part and not number and "" not in (lines := part.replace("\n", f" {_BARE}\n").split(" ")):
+                out.extend(lines)  # line breaks end words too
+                continue
             if not self.cut_words:
                 out.append(MARK.join(words))
             elif "" not in words:
@@ -175,9 +215,13 @@ class Segmenter:
         return out
 
     def decode(self, ids) -> str:
-        ids = [int(i) for i in ids]
-        if not ids:
+        ids = np.asarray(ids, dtype=np.int64)
+        if not len(ids):
             return ""
+        if not self.partial[ids].any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+            return text[1:] if text[0] == " " else text
+        ids = ids.tolist()
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:

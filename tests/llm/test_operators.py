@@ -315,11 +315,11 @@ def all_paths(segmenter, word):
 
 
 def test_op5_nbest_equals_all_segmentations(segmenter):
-    for text in ("", "hello", "the cat", "a  bc", "tion\nst", "日é x", "ab ab ab", " lead", "trail ", "x▁y"):
+    for text in ("", "hello", "the cat", "a  bc", "tion\nst", "日é x", "ab ab ab", " lead", "trail ", "x▁y", "the, end.\nof it!\n\nx", "a \nb", "\0x \0 y"):
         found = segmenter.encode_nbest(text)
         assert segmenter.decode(found[0][1]) == text
         assert len({f[1].tobytes() for f in found}) == len(found)
-        if text and "▁" not in text:
+        if text and "▁" not in text and len(text) < 16:
             best = all_paths(segmenter, "▁" + text.replace(" ", "▁"))[:4]
             assert [round(f[0], 3) for f in found] == [round(b[0], 3) for b in best]
 
