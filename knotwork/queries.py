@@ -108,6 +108,6 @@ def _cosine_sql(op: str, select: str) -> str:
 QUERIES |= {f.__name__: f for f in (near_dup, knn_suggest, dup_lookup, intent_detect, communities, betweenness, distill, consolidate)}
 ORACLES |= {
     "near_dup": _cosine_sql("<", "select a, b, round(score, 6) as score from scored where score >= 0.78 and score < 0.92 + 1e-6"),
-    "knn_suggest": _cosine_sql("<>", "select a as source, b as target, case when round(score, 9) >= 0.75 then 'similar' else 'extends' end as kind, round(score, 6) as score, round(score, 9) < 0.95 as pending from ranked where rk <= 3 and round(score, 9) >= 0.45"),
-    "dup_lookup": _cosine_sql("<>", "select a as id, b as duplicate_of, round(score, 6) as score from ranked where rk = 1 and round(score, 9) >= 0.92"),
+    "knn_suggest": _cosine_sql("<>", "select a as source, b as target, case when round(score, 9) >= 0.75 then 'similar' else 'extends' end as kind, round(round(score, 9), 6) as score, round(score, 9) < 0.95 as pending from ranked where rk <= 3 and round(score, 9) >= 0.45"),
+    "dup_lookup": _cosine_sql("<>", "select a as id, b as duplicate_of, round(round(score, 9), 6) as score from ranked where rk = 1 and round(score, 9) >= 0.92"),
 }
