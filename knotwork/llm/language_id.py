@@ -3,7 +3,7 @@
 A word seen in training is scored by its log frequency in each language. An unseen
 word is covered, at each of its positions, by the longest known character n-gram
 that starts there (five characters down to one), and the mean of these n-gram log
-frequencies stands in for the word; n-grams are learned from words seen at least twice. A text's score per language is the sum over all
+frequencies stands in for the word; n-grams are learned from every word, whole. A text's score per language is the sum over all
 of its words; the prediction is the largest, ties going to the alphabetically first.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. With
@@ -31,7 +31,8 @@ ORDERS = (5, 4, 3, 2, 1)
 #: The score is the posterior on the evidence of at most so many words.
 EVIDENCE_WORDS = 24
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_HELD = 400_000  # distinct words that a counting task holds before it passes them on
+_HELD = 400_000  # distinct words or n-grams that a counting task holds before it passes them on
+_PIECE = 50_000  # characters counted between two looks at what is held
 
 
 def clean_word(token: str) -> str:
@@ -39,11 +40,6 @@ def clean_word(token: str) -> str:
     return token.lower() if token.isalpha() else _EDGE.sub("", token).lower()
 
 
-def _grams(word: str, n: int) -> list[str]:
-    padded = f"^{word}$" if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
-
-
 _COUNTS = "lang string, kind int, item string, n long"
 _COUNTS_PA = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())])
 
@@ -73,18 +69,26 @@ def _count_words(it):
 def _count_grams(it):
     def rows():
         held: dict[tuple[str, int], Counter] = {}
+        fed = 0
         for batch in it:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n"))):
-                for order in ORDERS:
-                    grams, counts = _grams(word[:64], order), held.setdefault((lang, order), Counter())
-                    if n == 1:
-                        counts.update(grams)
-                    else:
-                        for gram in grams:
-                            counts[gram] += n
-            if sum(map(len, held.values())) > _HELD:
-                yield from drain(held)
-                held = {}
+                # A word may be a whole text without spaces, so it is counted piece by piece.
+                padded = f"^{word}$"
+                for at in range(0, len(padded), _PIECE):
+                    for order in ORDERS:
+                        of, counts = padded if order > 1 else word, held.setdefault((lang, order), Counter())
+                        grams = [of[i : i + order] for i in range(at, min(at + _PIECE, len(of) - order + 1))]
+                        if n == 1:
+                            counts.update(grams)
+                        else:
+                            for gram in grams:
+                                counts[gram] += n
+                    fed += min(len(word), _PIECE)
+                    if fed >= _PIECE:
+                        fed = 0
+                        if sum(map(len, held.values())) > _HELD:
+                            yield from drain(held)
+                            held = {}
         yield from drain(held)
 
     def drain(held):
@@ -150,7 +154,7 @@ def train(rows: DataFrame) -> Model:
     """A model from ``(text, lang)`` rows; counts cover every row with neither null."""
     rows = rows.select("text", "lang").where("text is not null and lang is not null")
     words = saved(rows.mapInArrow(_count_words, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-    grams = words.where("n > 1").select("lang", "item", "n").mapInArrow(_count_grams, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    grams = words.select("lang", "item", "n").mapInArrow(_count_grams, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     both = words.unionByName(saved(grams))
     totals = both.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     share = F.when(F.col("kind") == 0, WORD_SHARE).otherwise(GRAM_SHARE)

@@ -77,6 +77,31 @@ def test_op1_without_training_rows(spark, tables):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
 
 
+def test_op1_learns_ngrams_from_every_word_whole(spark, monkeypatch):
+    """Words seen once, and what follows a word's first 64 characters, teach n-grams too."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    unique = lambda letters, size: "".join(rng.choice(letters) for _ in range(size))
+    long = "ab" * 40 + "xyz"
+    words = [(unique("aeiou", 12), "en") for _ in range(30)] + [(unique("bcdfg", 12), "fr") for _ in range(30)] + [(long, "de"), (long, "de")]
+    monkeypatch.setattr(language_id, "_PIECE", 7)
+    monkeypatch.setattr(language_id, "_HELD", 50)
+    want = Counter()
+    for word, lang in words:
+        for n in language_id.ORDERS:
+            padded = f"^{word}$" if n > 1 else word
+            want.update((lang, n, padded[i : i + n]) for i in range(len(padded) - n + 1))
+    counted = Counter()
+    batch = pa.RecordBatch.from_pylist([{"lang": lang, "item": word, "n": n} for (word, lang), n in Counter(words).items()])
+    for out in language_id._count_grams(iter([batch])):
+        for r in out.to_pylist():
+            counted[r["lang"], r["kind"], r["item"]] += r["n"]
+    assert counted == want
+    score = language_id.train(spark.createDataFrame(words, "text string, lang string")).scorer()
+    assert [score(unique(letters, 12))[0] for letters in ("aeiou", "bcdfg", "xyz")] == ["en", "fr", "de"]
+
+
 def graded_fixture(n=240):
     rng = random.Random(2)
     base = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
