@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, WordTable, batches, saved
 
-#: A kept word or n-gram has at least this share of its language's total, which bounds
+#: A kept word or n-gram has at least this share of the total of some language, which bounds
 #: the model by 1 / share entries a language (and order) however large the corpus is.
 WORD_SHARE, GRAM_SHARE = 5e-6, 1e-5
 ORDERS = (5, 4, 3, 2, 1)
@@ -159,7 +159,9 @@ def train(rows: DataFrame) -> Model:
     totals = both.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     share = F.when(F.col("kind") == 0, WORD_SHARE).otherwise(GRAM_SHARE)
     # A row a language and order, at most a few hundred, so totals may be broadcast.
-    kept = both.join(F.broadcast(totals), ["lang", "kind"]).where(F.col("n") >= share * F.col("total"))
+    shared = both.join(F.broadcast(totals), ["lang", "kind"]).where(F.col("n") >= share * F.col("total")).select("kind", "item").distinct()
+    # An item that any language keeps keeps its counts in all of them.
+    kept = both.join(shared, ["kind", "item"], "left_semi")
     sums = {(r.lang, r.kind): r.total for r in totals.collect()}
     return Model(kept.select("lang", "kind", "item", "n").toArrow().to_pandas(), sums)
 

@@ -102,6 +102,16 @@ def test_op1_learns_ngrams_from_every_word_whole(spark, monkeypatch):
     assert [score(unique(letters, 12))[0] for letters in ("aeiou", "bcdfg", "xyz")] == ["en", "fr", "de"]
 
 
+def test_op1_keeps_counts_of_shared_words_in_every_language(spark, monkeypatch):
+    """A word kept for one language counts with its real number in a language where it is below the share."""
+    monkeypatch.setattr(language_id, "WORD_SHARE", 0.1)
+    texts = [("cat " * 95 + "menu " * 5, "en"), ("chat " * 80 + "menu " * 20, "fr")]
+    model = language_id.train(spark.createDataFrame(texts, "text string, lang string"))
+    assert set(model.rows[0]) == {"cat", "chat", "menu"}
+    assert model.word("menu") == pytest.approx([math.log(5.5 / 1100), math.log(20.5 / 1100)], rel=1e-5)
+    assert model.word("cat") == pytest.approx([math.log(95.5 / 1100), math.log(0.5 / 1100)], rel=1e-5)
+
+
 def graded_fixture(n=240):
     rng = random.Random(2)
     base = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
