@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
+from knotwork.operators import vectors as V
 
+#: The cosine from which a node's nearest other one is its duplicate.
+DUPLICATE = 0.92
 INTENT = ("supersedes", "contradicts", "continues")
 
 
@@ -90,21 +93,69 @@ def ingest(nodes: DataFrame, arrivals: DataFrame) -> DataFrame:
     return nodes.unionByName(fresh.withColumns(extra).select(*nodes.columns))
 
 
-def consolidate(nodes: DataFrame) -> DataFrame:
-    """Tombstones each probation node whose normalised text an earlier live node has, promotes the others."""
+def consolidate(nodes: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Settles each probation node, in id order. With ``vectors(id, vec)`` of all nodes, one whose nearest
+    other node has a cosine of ``DUPLICATE`` or more and is no tombstone by then is tombstoned, and its source
+    joins the other's ``sources``; the others are promoted. Without vectors, duplicates are only the nodes
+    whose normalised text an earlier live node has."""
+    if vectors is not None:
+        return _consolidate_near(nodes, vectors)
     key = Window.partitionBy(T.normalized(F.col("text")), F.col("status") == "tombstone").orderBy(F.when(F.col("status") == "probation", 1).otherwise(0), "id")
     ranked = nodes.withColumn("rk", F.row_number().over(key))
     status = F.when(F.col("status") != "probation", F.col("status")).when(F.col("rk") > 1, "tombstone").otherwise("active")
     return ranked.withColumn("status", status).drop("rk")
 
 
+def _consolidate_near(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    old = nodes.select("id", "status")
+    near = V.nearest(vectors, 1).where(F.col("score") >= DUPLICATE).select(F.col("source").alias("id"), F.col("target").alias("other"))
+    near = near.join(old.where("status = 'probation'").select("id"), "id", "left_semi").localCheckpoint()
+    has = near.select(F.col("id").alias("other"), F.lit(True).alias("waits"))
+    facts = near.join(old.select(F.col("id").alias("other"), F.col("status").alias("was")), "other").join(has, "other", "left")
+    # An earlier probation node with a duplicate of its own is settled first; the others are known at once.
+    merged = F.when(F.col("was") == "tombstone", False).when((F.col("was") == "probation") & (F.col("other") < F.col("id")) & F.col("waits"), None).otherwise(True)
+    # merged is null while it waits: it is then that of ``at``, the other way round if ``odd``.
+    state = facts.select("id", "other", merged.alias("merged"), F.col("other").alias("at"), F.lit(True).alias("odd")).localCheckpoint()
+    while not state.where("merged is null").isEmpty():  # chains halve every round
+        step = state.select(F.col("id").alias("at"), F.col("merged").alias("m"), F.col("at").alias("next"), F.col("odd").alias("o"))
+        flip = F.col("odd") != F.col("o")
+        waits = state.where("merged is null").join(step, "at").select("id", "other", (F.col("m") != F.col("odd")).alias("merged"), F.col("next").alias("at"), flip.alias("odd"))
+        state = state.where("merged is not null").unionByName(waits).localCheckpoint()
+    gone = state.where("merged").select("id", "other")
+    added = gone.join(nodes.select("id", "source"), "id").groupBy("other", "source").agg(F.min("id").alias("first")).groupBy("other").agg(F.sort_array(F.collect_list(F.struct("first", "source"))).alias("added"))
+    out = nodes.join(gone.select("id", F.lit(True).alias("gone")), "id", "left").join(added.withColumnRenamed("other", "id"), "id", "left")
+    status = F.when(F.col("status") != "probation", F.col("status")).when(F.col("gone"), "tombstone").otherwise("active")
+    sources = F.when(F.col("added").isNotNull(), F.array_distinct(F.concat(F.array("source"), F.col("added.source"))))
+    return out.withColumns({"status": status, "sources": sources}).drop("gone", "added")
+
+
 def demote_forgotten(nodes: DataFrame, level) -> DataFrame:
     """Tombstones active nodes whose level, a column expression, is ``tombstone``."""
     return nodes.withColumn("status", F.when((F.col("status") == "active") & (level == "tombstone"), "tombstone").otherwise(F.col("status")))
 
 
-def distill(nodes: DataFrame, communities: DataFrame, least: int = 10) -> DataFrame:
-    """A summary (id, community, size, digest) for each community of ``least`` members whose id isn't known yet."""
+def distill(nodes: DataFrame, communities: DataFrame, least: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """A summary (id, community, size, digest) for each community of ``least`` members whose id isn't known yet.
+    The digest lists the five members with most live accepted ``edges``, the smallest ids first among equals."""
     ids = communities.groupBy("community").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # ids only
-    made = ids.where(F.size("ids") >= least).select(T.summary_id(F.col("ids")).alias("id"), "community", F.size("ids").alias("size"), F.array_join(F.slice("ids", 1, 5), ", ").alias("digest"))
-    return made.join(nodes.select("id"), "id", "left_anti")
+    made = ids.where(F.size("ids") >= least).select(T.summary_id(F.col("ids")).alias("id"), "community", F.size("ids").alias("size"))
+    first = _strongest(communities, edges).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rk", "member"))), lambda m: m["member"]), ", ").alias("digest"))
+    return made.join(nodes.select("id"), "id", "left_anti").join(first, "community").select("id", "community", "size", "digest")
+
+
+def summary_edges(summaries: DataFrame, communities: DataFrame, edges: DataFrame) -> DataFrame:
+    """The accepted ``extends`` edges (source, target, kind, pending) from each of distill's summaries to its five strongest members."""
+    to = summaries.select(F.col("id").alias("source"), "community").join(_strongest(communities, edges), "community")
+    return to.select("source", F.col("member").alias("target"), F.lit("extends").alias("kind"), F.lit(False).alias("pending"))
+
+
+def _strongest(communities: DataFrame, edges: DataFrame | None) -> DataFrame:
+    members = communities.select("community", F.col("id").alias("member")).distinct()
+    if edges is None:
+        members = members.withColumn("n", F.lit(0))
+    else:
+        known = live(edges, pending=False)
+        degree = known.select(F.col("source").alias("member")).union(known.select("target")).groupBy("member").agg(F.count("*").alias("n"))
+        members = members.join(degree, "member", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "member"))
+    return members.withColumn("rk", rank).where("rk <= 5").select("community", "member", "rk")

@@ -87,11 +87,13 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distill(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return transitions.distill(nodes, graph.labels(nodes, edges))
+    return transitions.distill(nodes, graph.labels(nodes, edges), edges=tables.edges(spark, sf_dir))
 
 
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.consolidate(tables.nodes(spark, sf_dir)).select("id", "status")
+    nodes = tables.nodes(spark, sf_dir)
+    words = nodes.select("id", F.explode(tables.words_of(F.col("text"))).alias("word"))
+    return transitions.consolidate(nodes, vectors.dense(tables.embedded(words, "id"))).select("id", "status")
 
 
 _COSINES = """with nodes as {nodes}, words as {words}, embeds as {embeds}, norm as (select id, sqrt(sum(w * w)) as n from embeds group by id),

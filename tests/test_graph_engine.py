@@ -125,6 +125,48 @@ def test_review_cap_and_consolidation(spark):
     assert [r.size for r in transitions.distill(n, big).collect()] == [12]
 
 
+def test_consolidation_by_nearest_node(spark):
+    """Near copies are duplicates too; a node's duplicate counts only while it is no tombstone."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows, vecs = [], []
+    for i in range(120):
+        base = rng.choice(vecs)[1] if vecs and rng.random() < 0.8 else [rng.gauss(0, 1) for _ in range(8)]
+        vecs.append((f"n{i:03}", [x + rng.gauss(0, 0.08) for x in base]))
+        rows.append((f"n{i:03}", f"text {i}", f"s{i % 5}", "en", "semantic", rng.choice(["probation"] * 6 + ["active", "tombstone"]), 0))
+    order = rng.sample(range(120), 120)
+    names = [f"n{i:03}" for i in order]  # so that chains run in both directions
+    rows, vecs = [(n, *r[1:]) for n, r in zip(names, rows)], [(n, v) for n, (_, v) in zip(names, vecs)]
+    status, source, sources = {r[0]: r[5] for r in rows}, {r[0]: r[2] for r in rows}, {}
+    vec = {n: np.array(v) / np.linalg.norm(v) for n, v in vecs}
+    for n in sorted(status):
+        if status[n] == "probation":
+            best = max((m for m in sorted(vec) if m != n), key=lambda m: vec[n] @ vec[m])
+            if vec[n] @ vec[best] >= 0.92 and status[best] != "tombstone":
+                status[n] = "tombstone"
+                held = sources.setdefault(best, [source[best]])
+                held += [source[n]] * (source[n] not in held)
+            else:
+                status[n] = "active"
+    got = transitions.consolidate(spark.createDataFrame(rows, NODES), spark.createDataFrame(vecs, "id string, vec array<double>")).collect()
+    assert {r.id: r.status for r in got} == status and {r.id: r.sources for r in got if r.sources} == sources
+    assert len({r[5] for r in rows}) == 3 and len(sources) > 5
+
+
+def test_distillation_names_and_links_the_strongest(spark):
+    members = [f"n{i:02}" for i in range(12)]
+    groups = spark.createDataFrame([(m, 0) for m in members], "id string, community int")
+    e = edges(spark, *[("n11", m, "extends", False) for m in members[:4]], ("n10", "n03", "similar", False), *[("n09", m, "similar", True) for m in members[:5]])
+    n = nodes(spark, *[(m, m, "active") for m in members])
+    made = transitions.distill(n, groups, edges=e)
+    assert made.first().digest == "n11, n03, n00, n01, n02"
+    links = transitions.summary_edges(made, groups, e).collect()
+    assert {(r.source, r.target, r.kind, r.pending) for r in links} == {(made.first().id, m, "extends", False) for m in ("n11", "n03", "n00", "n01", "n02")}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text("---\nid: a\nstatus: odd\ntags: [x, y]\nrecalls: 2\n---\nBody\nmore\n")
