@@ -33,6 +33,12 @@ def _top(rows: str, score: str, k: int) -> str:
     return _TOP.replace("{score}", score).replace("{rows}", rows).replace("{k}", str(k))
 
 
+# Lower case, runs of white space as one space: a space and a mark for each, then no mark before a space.
+_NORMAL = "lower(text)"
+for _code in (9, 10, 11, 12, 13):
+    _NORMAL = f"replace({_NORMAL}, chr({_code}), ' ')"
+_NORMAL = f"trim(replace(replace(replace({_NORMAL}, ' ', ' ' || chr(1)), chr(1) || ' ', ''), chr(1), ''))"
+
 _INTENT = "kind in ('supersedes', 'contradicts', 'continues')"
 
 PLANS = {
@@ -87,11 +93,12 @@ select cast(max(case when pos = least(cast(floor(0.5 * n) as bigint), n - 1) the
  select id, target as other, kind, 'out' as direction, pending from {{edges}} where source = 'd00000042' and {LIVE}
  union all select id, source, kind, 'in', pending from {{edges}} where target = 'd00000042' and {LIVE}) x where other in (select id from {{nodes}})""",
     "substring_search": "select id, substr(text, 1, 40) as snippet from {nodes} where status <> 'tombstone' and lower(text) like '%the thing%' order by id limit 12",
-    "find_by_text": """want as (select item_id, lower(trim(substr(text, 1, 40))) as ref from {benchmark}), hits as (
- select item_id, id, case when lower(trim(text)) = ref then 0 else 1 end as miss, length(text) as chars from want join {nodes} n on substr(lower(trim(text)), 1, 8) = substr(ref, 1, 8) and lower(trim(text)) like ref || '%'),
-ranked as (select *, row_number() over (partition by item_id order by miss, chars, id) as rk from hits)
+    "find_by_text": f"""want as (select item_id, {_NORMAL} as ref from {{benchmark}}), given as (select id, {_NORMAL} as body from {{nodes}}), hits as (
+ select item_id, id, ref, body from want join given on substr(body, 1, 8) = substr(ref, 1, 8) and substr(body, 1, length(ref)) = ref where length(ref) >= 8
+ union all select item_id, id, ref, body from (select * from want where length(ref) < 8) w join given on substr(body, 1, length(ref)) = ref),
+ranked as (select *, row_number() over (partition by item_id order by case when body = ref then 0 else 1 end, length(body), id) as rk from hits)
 --
-select item_id, id, miss = 0 as exact from ranked where rk = 1""",
+select item_id, id, body = ref as exact from ranked where rk = 1""",
     "neighbor_kinds": f"select kind, cast(count(*) as bigint) as n from {{edges}} where {LIVE} and not pending and (source = 'd00000042' or target = 'd00000042') group by kind",
     # graph
     "neighbors_1hop": _SHOWN + """, hop as (select case when source = 'd00000042' then target else source end as id, kind, case when source = 'd00000042' then 'out' else 'in' end as direction, seq from live where source = 'd00000042' or target = 'd00000042'),

@@ -62,9 +62,8 @@ def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search queries: the first eight words of each benchmark text, in order, repetitions included."""
-    words = F.slice(words_of(F.col("text")), 1, 8)
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words).alias("word"))
+    """Search queries: all words of each benchmark text, in order, repetitions included."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words_of(F.col("text"))).alias("word"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +112,7 @@ SQL = {
   'd' || lpad((user_id % n)::varchar, 8, '0') as id from events, (select count(*) as n from documents))""",
     "words": r"""(select id, word from (select id, unnest(string_split_regex(lower(text), '\s+')) as word from nodes
   where status <> 'tombstone') where word <> '')""",
-    "searches": r"""(select item_id as qid, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')[1:8]) as word from benchmark)""",
+    "searches": r"""(select item_id as qid, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) as word from benchmark)""",
     "embeds": _EMBED.format(key="id", rows="words"),
     "sembeds": _EMBED.format(key="qid", rows="searches"),
 }

@@ -196,6 +196,54 @@ def test_stream_of_recalls(spark, tmp_path):
     assert sorted(r.n for r in recalls.windowed(table).collect()) == [1, 2] and sorted(r.n for r in recalls.sessions(table).collect()) == [1, 2]
 
 
+def written(spark, folder, docs, benchmark=(), labels=()):
+    """A folder with tables of these documents (doc_id, text), benchmark texts (item_id, text) and labels."""
+    for name, rows, schema in (
+        ("documents", [(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string"),
+        ("benchmark", list(benchmark), "item_id long, text string"),
+        ("labels", list(labels), "doc_id long, quality int, toxic int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def both_engines(spark, folder, name):
+    """The query's rows, which Spark and DuckDB must share."""
+    db = duckdb.connect()
+    for table in ("documents", "benchmark", "labels"):
+        db.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(db.sql(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall())
+    return rows
+
+
+def test_search_uses_every_word(spark, tmp_path):
+    import math
+
+    docs = [(i, t) for i, t in enumerate(["nine ten ten", "one two three", "other words here", "eleven"])]
+    where = written(spark, tmp_path, docs, [(7, "one two three four five six seven eight nine ten eleven ten")])
+    texts = [t.split() for _, t in docs]
+    mean = sum(map(len, texts)) / len(texts)
+    query, want = "one two three four five six seven eight nine ten eleven ten".split(), {}
+    for i, words in enumerate(texts):
+        for q in query:
+            df, tf = sum(q in w for w in texts), words.count(q)
+            if tf:
+                want[i] = want.get(i, 0) + math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+    got = both_engines(spark, where, "bm25_topk")
+    assert {r[2]: r[3] for r in got} == {f"d{i:08}": pytest.approx(x, abs=1e-5) for i, x in want.items()} and len(want) == 3
+    assert {r[2] for r in both_engines(spark, where, "hybrid_search")} >= {"d00000000", "d00000003"}
+
+
+def test_find_by_text_compares_whole_texts(spark, tmp_path):
+    long = "a text that is much longer than forty characters, "
+    docs = [(1, long + "with one end"), (2, long + "with\n ANOTHER  end "), (3, long + "with another end [evolved]"), (4, "100% of it"), (5, "short"), (6, "shortest")]
+    wanted = [(1, long + "with another end"), (2, long + "with no end"), (3, "100_ of it"), (4, "shor"), (5, "Short"), (6, long + "with one")]
+    got = both_engines(spark, written(spark, tmp_path, docs, wanted), "find_by_text")
+    assert got == [(1, "d00000002", True), (4, "d00000005", False), (5, "d00000005", True), (6, "d00000001", False)]
+
+
 @pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup"])
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()
