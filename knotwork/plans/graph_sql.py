@@ -168,7 +168,9 @@ select id, round(kept, 9) as decay, round(held, 9) as retention, case when held
     "resolve_edge": "select id, case when seq % 8 = 0 then false else pending end as pending, case when seq % 8 = 4 then true else rejected end as rejected from {edges} where pending and to_s is null and not rejected",
     "undo_edge": "select id, true as pending, false as rejected from {edges} where rejected and to_s is null",
     "invalidate_edges": f"select id, from_s, 1719792000 as to_s from {{edges}} where {LIVE} and source = 'd00000042'",
-    "link_check": f"want as (select source as a, target as b, 'extends' as kind from {{edges}} where seq < 200)\n--\nselect a, b, cast(count(e.id) as bigint) as existing from want left join (select * from {{edges}} where {LIVE}) e on e.source = a and e.target = b and e.kind = want.kind group by a, b",
+    "link_check": f"""want as (select distinct source as a, target as b, 'extends' as kind from {{edges}}), have as (select source, target, kind, count(*) as n from {{edges}} where {LIVE} group by source, target, kind)
+--
+select a, b, cast(coalesce(n, 0) as bigint) as existing from want left join have on source = a and target = b and have.kind = want.kind""",
     "merge_edges": f"""moved as (select seq, id, kind, case when source = 'd00000043' then 'd00000042' else source end as s, case when target = 'd00000043' then 'd00000042' else target end as t, source = 'd00000043' and kind in ('supersedes', 'continues') as closed from {{edges}} where {LIVE}),
 ranked as (select *, row_number() over (partition by least(s, t), greatest(s, t) order by seq) as rk from moved where s <> t)
 --

@@ -244,6 +244,14 @@ def test_find_by_text_compares_whole_texts(spark, tmp_path):
     assert got == [(1, "d00000002", True), (4, "d00000005", False), (5, "d00000005", True), (6, "d00000001", False)]
 
 
+def test_link_check_takes_every_edge(spark, monkeypatch):
+    rows = [(900, "a", "b", "extends", False, None), (901, "a", "b", "extends", False, None), (902, "b", "c", "similar", False, None), (3, "c", "d", "extends", True, None), (904, "d", "a", "extends", False, 9)]
+    made = spark.createDataFrame([(k, f"e{k}", s, t, kind, False, no, 0, to, None) for k, s, t, kind, no, to in rows], EDGES)
+    monkeypatch.setitem(queries.tables.VIEWS, "edges", lambda *_: made)
+    got = [tuple(r) for r in queries.QUERIES["link_check"](spark, SF).collect()]
+    assert sorted(got) == [("a", "b", 2), ("b", "c", 0), ("c", "d", 0), ("d", "a", 0)]
+
+
 @pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup"])
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()
