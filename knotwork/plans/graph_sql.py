@@ -39,6 +39,15 @@ for _code in (9, 10, 11, 12, 13):
     _NORMAL = f"replace({_NORMAL}, chr({_code}), ' ')"
 _NORMAL = f"trim(replace(replace(replace({_NORMAL}, ' ', ' ' || chr(1)), chr(1) || ' ', ''), chr(1), ''))"
 
+# (area, id) of each live node whose folded text has a keyword with no letter, digit or underscore on either side.
+# chr(92) is a backslash, which the engines' literals write differently; \Q and \E quote the keyword.
+_FOLDED = "lower(coalesce(text, ''))"
+for _letter, _plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+    _FOLDED = f"replace({_FOLDED}, '{_letter}', '{_plain}')"
+_OTHER = "[^_' || chr(92) || 'pL' || chr(92) || 'pN]"
+_HITS = f"""folded as (select id, {_FOLDED} as body from {{nodes}} where status <> 'tombstone'),
+hit as (select distinct area, id from {{taxonomy}} join folded on regexp_extract(body, '(^|{_OTHER})(' || chr(92) || 'Q' || keyword || chr(92) || 'E)($|{_OTHER})', 2) <> '')"""
+
 _INTENT = "kind in ('supersedes', 'contradicts', 'continues')"
 
 PLANS = {
@@ -129,15 +138,14 @@ seen as (select least(x.lang, y.lang) as a, greatest(x.lang, y.lang) as b, count
 --
 select p.lang as a, q.lang as b, cast(coalesce(observed, 0) as bigint) as observed, round(p.d * q.d / (2.0e0 * m), 6) as expected, round((p.d * q.d / (2.0e0 * m) - coalesce(observed, 0)) / (p.d * q.d / (2.0e0 * m)), 6) as deficit
 from ld p join ld q on p.lang < q.lang left join seen on seen.a = p.lang and seen.b = q.lang cross join cut""",
-    # coverage; areas of frequent words, one of them absent
-    "coverage": """areas as (select 'articles' as area, 'the' as keyword union all select 'articles', 'der' union all select 'pronouns', 'this' union all select 'pronouns', 'that' union all select 'absent', 'zyzzyva'),
-hit as (select distinct area, id from areas join {words} w on keyword = word), ranked as (select *, row_number() over (partition by area order by id) as rk from hit)
+    # coverage by word boundary, of the areas and keywords of {taxonomy}
+    "coverage": f"""{_HITS}, ranked as (select *, row_number() over (partition by area order by id) as rk from hit)
 --
-select x.area, cast(count(id) as bigint) as n, min(id) as first_example, max(case when rk <= 5 then id end) as fifth_example from (select distinct area from areas) x left join ranked r on x.area = r.area group by x.area""",
-    "coverage_gaps": """areas as (select 'articles' as area, 'the' as keyword union all select 'pronouns', 'this' union all select 'absent', 'zyzzyva'),
-hit as (select area, count(distinct id) as n from areas join {words} w on keyword = word group by area)
+select x.area, cast(count(id) as bigint) as n, min(id) as first_example, max(case when rk <= 5 then id end) as fifth_example,
+ (select cast(count(*) as bigint) from folded where id not in (select id from hit)) as unclassified from (select distinct area from {{taxonomy}}) x left join ranked r on x.area = r.area group by x.area""",
+    "coverage_gaps": f"""{_HITS}, counted as (select area, count(*) as n from hit group by area)
 --
-select x.area, cast(coalesce(n, 0) as bigint) as n from (select distinct area from areas) x left join hit on x.area = hit.area where coalesce(n, 0) < 10""",
+select x.area, cast(coalesce(n, 0) as bigint) as n from (select distinct area from {{taxonomy}}) x left join counted on x.area = counted.area where coalesce(n, 0) < 10""",
     "taxonomy_substring": """areas as (select 'articles' as area, 'the' as keyword union all select 'pronouns', 'this' union all select 'absent', 'zyzzyva')
 --
 select area, cast(count(distinct id) as bigint) as n from areas join {nodes} n on lower(text) like '%' || keyword || '%' where status <> 'tombstone' group by area""",

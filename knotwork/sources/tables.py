@@ -79,12 +79,22 @@ def embedded(rows: DataFrame, key: str) -> DataFrame:
     return counted.groupBy(key, (nibble(63, 2) % DIMS).alias("dim")).agg(F.sum(sign * F.col("n")).alias("w")).where("w <> 0")
 
 
+#: The taxonomy of the coverage queries: areas of frequent words, one of them absent.
+TAXONOMY = [("articles", "the"), ("articles", "der"), ("pronouns", "this"), ("pronouns", "that"), ("absent", "zyzzyva")]
+
+
+def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(area, keyword); keywords are in lower case, with umlauts spelt out."""
+    return spark.createDataFrame(TAXONOMY, "area string, keyword string")
+
+
 VIEWS = {
     "nodes": nodes,
     "edges": edges,
     "recalls": recalls,
     "words": words,
     "searches": searches,
+    "taxonomy": taxonomy,
     "embeds": lambda s, d: embedded(words(s, d), "id"),
     "sembeds": lambda s, d: embedded(searches(s, d), "qid"),
 }
@@ -116,4 +126,5 @@ SQL = {
     "embeds": _EMBED.format(key="id", rows="words"),
     "sembeds": _EMBED.format(key="qid", rows="searches"),
 }
+SQL["taxonomy"] = f"(select * from (values {', '.join(map(str, TAXONOMY))}) t(area, keyword))"
 NEEDS = {"words": ["nodes"], "embeds": ["nodes", "words"], "sembeds": ["searches"]}

@@ -252,6 +252,21 @@ def test_link_check_takes_every_edge(spark, monkeypatch):
     assert sorted(got) == [("a", "b", 2), ("b", "c", 0), ("c", "d", 0), ("d", "a", 0)]
 
 
+def test_coverage_by_word_boundary(spark, tmp_path, monkeypatch):
+    import re
+
+    taxonomy = [("a", "that"), ("a", "der"), ("b", "two words"), ("b", "gruen"), ("c", "a.b"), ("d", "absent")]
+    monkeypatch.setattr(queries.tables, "TAXONOMY", taxonomy)
+    texts = ["that, is", "(the other) of (that)", "thatch", "_that", "ändern der", "wunder", "these two words.", "two  words", "GRÜN!", "axb", "a.b", "nothing", "that"]
+    where = written(spark, tmp_path, list(enumerate(texts)), labels=[(12, 0, 1)])
+    folded = [t.lower().replace("ä", "ae").replace("ü", "ue") for t in texts[:12]]
+    hits = {area: [f"d{i:08}" for i, t in enumerate(folded) if any(re.search(rf"\b{re.escape(k)}\b", t) for x, k in taxonomy if x == area)] for area, _ in taxonomy}
+    missed = 12 - len(set().union(*hits.values()))
+    got = {r.area: (r.n, r.first_example, r.unclassified) for r in queries.QUERIES["coverage"](spark, where).collect()}
+    assert got == {a: (len(h), min(h, default=None), missed) for a, h in hits.items()} and got["a"][0] == 3 and missed == 6
+    assert {r.area: r.n for r in queries.QUERIES["coverage_gaps"](spark, where).collect()} == {a: len(h) for a, h in hits.items()}
+
+
 @pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup"])
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()
