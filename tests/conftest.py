@@ -1,4 +1,8 @@
-import pytest
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is loaded
+
+import pytest  # noqa: E402
 
 
 @pytest.fixture(scope="session")
