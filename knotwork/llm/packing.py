@@ -62,13 +62,13 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[
     """Patterns and how often the linear program uses each (a fraction)."""
     m = len(lengths)
     basis, x = _start(lengths, demand, capacity)
-    inverse = np.linalg.inv(basis.T)
+    inverse = _inverse(basis.T)
     for _ in range(MAX_COLUMNS):
         prices = np.maximum(inverse.sum(axis=0), 0)
         value, column = knapsack(prices, lengths, capacity)
         if value <= 1 + 1e-9 or x.sum() <= (demand @ prices) / value * (1 + GAP):
             break
-        u = inverse @ column
+        u = np.einsum("ij,j->i", inverse, column)  # no threads of linear algebra beside Spark's
         rise = u > 1e-9
         if not rise.any():
             break
@@ -86,6 +86,16 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[
     return [(p, float(v)) for p, v in zip(basis, x) if v > 1e-9]
 
 
+def _inverse(upper: np.ndarray) -> np.ndarray:
+    """Of an upper triangular matrix, from its last row up."""
+    out = np.zeros_like(upper)
+    for i in reversed(range(len(upper))):
+        out[i] = -np.einsum("j,jk->k", upper[i, i + 1 :], out[i + 1 :])
+        out[i, i] += 1
+        out[i] /= upper[i, i]
+    return out
+
+
 def _start(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """A first basis (a pattern a row) and its use: longest first, the room filled by shorter lengths in demand.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, products, saved
 
 SAMPLE, LISTS, SUBSPACES, ENTRIES = 8192, 64, 8, 16
 BLOCK = 1024  # classes of a list, and queries, that a task matches at a time
@@ -43,7 +43,7 @@ class Index:
     def place(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Cell, code and quantisation error of unit vectors, and the cells each must probe."""
         c = self.centroids
-        d2 = np.maximum(((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :]) - 2 * x @ c.T, 0)
+        d2 = np.maximum(((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :]) - 2 * products(x, c), 0)
         cell = d2.argmin(axis=1)
         rest = x - c[cell]
         codes = np.stack([_nearest(rest[:, a:b], book) for a, b, book in self.parts()], axis=1).astype(np.uint8)
@@ -70,7 +70,7 @@ class Index:
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return ((book * book).sum(1)[None, :] - 2 * x @ book.T).argmin(axis=1)
+    return ((book * book).sum(1)[None, :] - 2 * products(x, book)).argmin(axis=1)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
