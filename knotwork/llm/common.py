@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -17,10 +18,13 @@ CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset and everything runs
+    on this machine (tests). A cluster has to name a shared folder."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="knotwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/knotwork-{uuid.uuid4().hex}"
@@ -124,35 +128,39 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ik,jk->ij", x, y)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of each endpoint that isn't itself it: ``(id, component_id)`` from edges ``(a, b)``.
 
-    Alternating large-star and small-star steps; each round is two grouped minima
-    over the edges, written to the shared folder, and the loop ends once the edges
-    no longer change. Stars are spread by their leaves and combined before the
-    shuffle, so a hub with very many neighbours needs no task of its own.
+    Alternating large-star and small-star steps, written to the shared folder, until a round leaves the set
+    of edges as it was, however many rounds that takes. The rows of hubs stay where they are and get their
+    hub's smallest neighbour by broadcast; there are fewer than 2 * HUBS of these.
     """
-    work = saved(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    last = None
-    for _ in range(max_rounds):
+    work = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    n = work.count()
+    while n:
         both = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star: neighbours above u attach to the smallest id around u.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Large star: neighbours above u attach to the smallest id around u, or u itself.
+        large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours attach to the smallest of them.
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(small_low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        work = saved(small)
-        now = work.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.col("v") % 1_000_003)).first()
-        if tuple(now) == last:
+        to_least = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        new = saved(_with_least(large, n).select(to_least.alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        size = new.count()
+        if size == n and new.join(work, ["u", "v"], "left_anti").isEmpty():  # both are sets: the same edges
             break
-        last = tuple(now)
+        work, n = new, size
     return work.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
+
+
+#: A u of more than a HUBS-th of all edges (and more than HUB) is a hub.
+HUB, HUBS = 4096, 1 << 16
+
+
+def _with_least(rows: DataFrame, edges: int) -> DataFrame:
+    """``rows(u, v)`` with m, the smallest v of u; ``rows`` are at most ``2 * edges``."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB, edges // HUBS)
+    if edges <= HUB:
+        return rows.join(low.select("u", "m"), "u")
+    tagged = rows.join(F.broadcast(low.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")  # fewer than 2 * HUBS rows
+    cold = tagged.where("hub_m is null").select("u", "v").join(low.where(~hub).select("u", "m"), "u")
+    return cold.unionByName(tagged.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))

@@ -11,7 +11,7 @@ probability P(grade >= g) selects them.
 The model is fitted on at most ``max_train`` labelled texts, those with the smallest
 hash of their id; every text is scored whole. Defined results: a null text counts as
 empty; labels whose id or grade is null are not used, and of several labels of one id
-the lowest grade holds. With fewer than two grades to learn from, every text gets the
+the lowest grade holds, of several texts of one id that whose features' hash is smallest. With fewer than two grades to learn from, every text gets the
 only grade (or 0) as its expectation and tail probability 1.
 """
 
@@ -157,7 +157,9 @@ def train(docs: DataFrame, graded: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    got = rows.mapInArrow(run, "doc_id long, grade int, found binary").orderBy("doc_id", F.xxhash64("found")).limit(2 * max_train).toArrow().to_pandas()
+    # One text an id, that of the smallest hash, so that repeated ids bring no more rows.
+    found = rows.mapInArrow(run, "doc_id long, grade int, found binary").groupBy("doc_id", "grade").agg(F.min_by("found", F.xxhash64("found")).alias("found"))
+    got = found.orderBy("doc_id").toArrow().to_pandas()
     seen = np.unique(got["grade"].to_numpy(dtype=np.int64)) if len(got) else np.zeros(0, np.int64)
     grades = np.searchsorted(seen, got["grade"].to_numpy(dtype=np.int64)) if len(got) else seen
     model = fit([np.frombuffer(b, "<i4") for b in got["found"]], grades)

@@ -1,7 +1,7 @@
-"""Removal of every byte in a passage of ``LENGTH`` bytes that starts anywhere else too.
+"""Removal of every byte in a passage of ``length`` bytes that starts anywhere else too.
 
-Suffixes are sampled by content: of any ``WINDOW`` neighbouring starts the one whose
-next ``CORE`` bytes hash lowest is an anchor, so equal passages have an anchor at the
+Suffixes are sampled by content: of any ``window`` neighbouring starts the one whose
+next ``core`` bytes hash lowest is an anchor, so equal passages have an anchor at the
 same place. Anchors with equal cores form a bucket, and in it the suffixes from the
 anchor on, and the reversed prefixes up to it, are put in order by deep-shallow
 sorting: multikey quicksort on eight-byte characters down to ``SHALLOW`` bytes, then a
@@ -14,13 +14,14 @@ Texts that are equal as a whole are one class, compared once. A bucket of more t
 ``GIANT`` anchors is not brought together: its passages are hashed one by one and counted
 by a grouped aggregate that combines before the shuffle.
 
-Defined results: a null text counts as empty; texts of fewer than ``LENGTH`` bytes stay as
+Defined results: a null text counts as empty; texts of fewer than ``length`` bytes stay as
 they are; of texts that several rows share, if long enough, nothing stays; rows are
 answered each for itself, whatever their ids.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import mix64, saved
 
-LENGTH, CORE = 400, 200
-WINDOW = LENGTH - CORE + 1
+@dataclass(frozen=True)
+class Reach:
+    """Lengths in bytes: of a passage that may not occur twice, and of an anchor's core."""
+
+    length: int = 400
+    core: int = 200
+
+    @property
+    def window(self) -> int:
+        return self.length - self.core + 1
+
+
 #: Depth of quicksort; anchors of a bucket that one task takes (about 700 bytes each); anchors that are compared
 #: by pairs rather than by the length to their left.
 SHALLOW, GIANT, MATRIX = 64, 500_000, 256
@@ -62,20 +73,21 @@ class Roller:
             return mix64((sums[width:] - sums[: n - width + 1]) * self.inverses[: n - width + 1])
 
 
-def anchors(raw: bytes, roll: Roller) -> tuple[np.ndarray, np.ndarray]:
+def anchors(raw: bytes, roll: Roller, reach: Reach = Reach()) -> tuple[np.ndarray, np.ndarray]:
     """Positions and core hashes of the anchors: the leftmost lowest hash of every window."""
-    h = roll(raw, CORE)
-    n = len(h) - WINDOW + 1
+    window = reach.window
+    h = roll(raw, reach.core)
+    n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), h[:0]
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    rows = -(-len(key) // WINDOW)
-    grid = np.full(rows * WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
+    rows = -(-len(key) // window)
+    grid = np.full(rows * window, np.uint64(0xFFFFFFFFFFFFFFFF))
     grid[: len(key)] = key
-    grid = grid.reshape(rows, WINDOW)
+    grid = grid.reshape(rows, window)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    lowest = np.minimum(behind[:n], ahead[WINDOW - 1 : WINDOW - 1 + n])
+    lowest = np.minimum(behind[:n], ahead[window - 1 : window - 1 + n])
     at = (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return at, h[at]
@@ -160,15 +172,15 @@ def deep_shallow_sort(texts: list[bytes], start: int = 0) -> list[int]:
     return out
 
 
-def extents(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int]]:
+def extents(lefts: list[bytes], rights: list[bytes], reach: Reach = Reach()) -> list[tuple[int, int]]:
     """(l, r) of each anchor of a bucket; (0, 0) where no passage of the full length is shared.
 
     ``lefts`` are reversed; both sides may be cut at the reach of a passage that holds the core."""
     m = len(lefts)
     if m == 2:
         l, r = common_length(*lefts), common_length(*rights)
-        return [(l, r) if l + r >= LENGTH else (0, 0)] * 2
-    orders = deep_shallow_sort(lefts), deep_shallow_sort(rights, CORE)
+        return [(l, r) if l + r >= reach.length else (0, 0)] * 2
+    orders = deep_shallow_sort(lefts), deep_shallow_sort(rights, reach.core)
     ranks, commons = [], []
     for texts, order in zip((lefts, rights), orders):
         rank = np.empty(m, np.int64)
@@ -183,18 +195,18 @@ def extents(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int]]:
                 grid[i, i + 1 :] = np.minimum.accumulate(common[i:])
             grid += grid.T
             shared.append(grid[rank][:, rank])
-        good = shared[0] + shared[1] >= LENGTH
+        good = shared[0] + shared[1] >= reach.length
         np.fill_diagonal(good, False)
         return list(zip(*((s * good).max(axis=1).tolist() for s in shared)))
     best = np.zeros((2, m), np.int64)
-    # By the length o left of the anchor: anchors with equal o bytes before and LENGTH - o after share a passage.
-    for o in range(WINDOW):
+    # By the length o left of the anchor: anchors with equal o bytes before and reach.length - o after share a passage.
+    for o in range(reach.window):
         left = np.concatenate([[0], np.cumsum(commons[0] < o)])[ranks[0]]
-        right = np.concatenate([[0], np.cumsum(commons[1] < LENGTH - o)])[ranks[1]]
+        right = np.concatenate([[0], np.cumsum(commons[1] < reach.length - o)])[ranks[1]]
         _, of, n = np.unique(left * m + right, return_inverse=True, return_counts=True)
         shared = n[of] > 1
         best[0][shared] = np.maximum(best[0][shared], o)
-        best[1][shared] = np.maximum(best[1][shared], LENGTH - o)
+        best[1][shared] = np.maximum(best[1][shared], reach.length - o)
     return list(zip(*best.tolist()))
 
 
@@ -202,7 +214,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("raw", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("key", F.unhex(F.md5("raw")))
 
 
-def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated(rows: DataFrame, reach: Reach = Reach()) -> tuple[DataFrame, DataFrame]:
     """Stretches (key, start, end) to remove from texts, and the texts (key, raw) that have any,
     for ``rows(doc_id, key, raw)``; texts that occur as a whole more than once are not told apart."""
 
@@ -214,7 +226,7 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if key in seen:
                     continue
                 seen.add(key)
-                places, hashes = anchors(raw, roll)
+                places, hashes = anchors(raw, roll, reach)
                 keys.extend([key] * len(places))
                 firsts.append(np.full(len(places), int.from_bytes(key[:8], "little"), np.uint64))
                 at.append(places)
@@ -226,7 +238,7 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [pa.array(core.view(np.int64)), pa.array(mark.view(np.int64)), pa.array(keys, pa.binary()), pa.array(at)], names=["core", "mark", "key", "at"]
             )
 
-    long = rows.where(F.length("raw") >= LENGTH).select("key", F.coalesce("doc_id", F.lit(-1)).alias("of"), "raw")
+    long = rows.where(F.length("raw") >= reach.length).select("key", F.coalesce("doc_id", F.lit(-1)).alias("of"), "raw")
     all_ = saved(long.select("key", "raw").mapInArrow(find, "core long, mark long, key binary, at long"))
     # One place of one text has one mark, however many rows hold the text.
     shared = all_.groupBy("core").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low <> high").select("core", "n")
@@ -241,7 +253,7 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             for key, raw, found in zip(*(batch.column(c).to_pylist() for c in ("key", "raw", "places"))):
                 for p in found:
                     at = p["at"]
-                    out.append((p["core"], p["n"], key, at, raw[max(0, at - LENGTH + CORE) : at][::-1], raw[at : at + LENGTH]))
+                    out.append((p["core"], p["n"], key, at, raw[max(0, at - reach.length + reach.core) : at][::-1], raw[at : at + reach.length]))
                     if len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                         out = []
@@ -255,7 +267,7 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         out: list = []
 
         def bucket():
-            for (key, at, *_), (l, r) in zip(held, extents([h[2] for h in held], [h[3] for h in held])):
+            for (key, at, *_), (l, r) in zip(held, extents([h[2] for h in held], [h[3] for h in held], reach)):
                 if r:
                     out.append((key, at - l, at + r))
 
@@ -278,12 +290,12 @@ def repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = saved(contexts.where(F.col("n") <= GIANT).repartition("core").sortWithinPartitions("core").mapInArrow(match, "key binary, start long, end long"))
     giant = saved(shared.where(F.col("n") > GIANT))
     if not giant.isEmpty():
-        wide = contexts.where(F.col("n") > GIANT).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))))
-        fits = wide.where((F.col("o") <= F.length("left")) & (LENGTH - F.col("o") <= F.length("right")))
-        passage = F.concat(F.reverse(F.hex(F.substring("left", F.lit(1), F.col("o")))), F.hex(F.substring("right", F.lit(1), LENGTH - F.col("o"))))
+        wide = contexts.where(F.col("n") > GIANT).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(reach.window - 1))))
+        fits = wide.where((F.col("o") <= F.length("left")) & (reach.length - F.col("o") <= F.length("right")))
+        passage = F.concat(F.reverse(F.hex(F.substring("left", F.lit(1), F.col("o")))), F.hex(F.substring("right", F.lit(1), reach.length - F.col("o"))))
         hashed = fits.select("key", "at", "o", F.md5(passage.cast("binary")).alias("passage"))
         many = hashed.groupBy("passage").agg(F.count("*").alias("times")).where("times > 1").select("passage")
-        more = hashed.join(many, "passage").select("key", (F.col("at") - F.col("o")).alias("start"), (F.col("at") - F.col("o") + LENGTH).alias("end"))
+        more = hashed.join(many, "passage").select("key", (F.col("at") - F.col("o")).alias("start"), (F.col("at") - F.col("o") + reach.length).alias("end"))
         spans = spans.unionByName(saved(more))
     return spans, texts.select("key", "raw")
 
@@ -307,11 +319,11 @@ def _rest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return rest, len(raw) - len(rest), runs
 
 
-def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with raw, key and times (rows that share the text); and (key, rest, n_removed, n_spans)
-    of each text that loses something to others or itself, other than by being repeated whole."""
+def dedup(docs: DataFrame, reach: Reach = Reach()) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text)`` with raw and key; and (key, rest, n_removed, n_spans) of each text that loses
+    something, where a null n_removed stands for all of it."""
     rows = _keyed(docs)
-    spans, texts = repeated(rows)
+    spans, texts = repeated(rows, reach)
     by_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def remove(it):
@@ -322,7 +334,7 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["key", "rest", "n_removed", "n_spans"])
 
     rests = saved(texts.join(by_text, "key").mapInArrow(remove, "key binary, rest binary, n_removed long, n_spans long"))
-    whole = rows.where(F.length("raw") >= LENGTH).groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    whole = rows.where(F.length("raw") >= reach.length).groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     changes = rests.join(whole, "key", "full").select(
         "key",
         F.when(F.col("times").isNull(), F.col("rest")).otherwise(F.lit(b"")).alias("rest"),
@@ -332,9 +344,9 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, saved(changes)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, reach: Reach = Reach()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs(doc_id, text)``."""
-    rows, changes = dedup(docs.select("doc_id", "text"))
+    rows, changes = dedup(docs.select("doc_id", "text"), reach)
     sizes = rows.select("doc_id", "key", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("own"))
     change = changes.select("key", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept"))
     out = sizes.join(change, "key", "left")
@@ -347,18 +359,18 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def kept_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with each text cut to what is left; bytes of characters that a cut splits go too."""
-    columns = docs.columns
-    rows, changes = dedup(docs)
-    out = rows.join(changes.select("key", "rest"), "key", "left")
+def kept_texts(docs: DataFrame, reach: Reach = Reach()) -> DataFrame:
+    """``docs`` with each text cut to what is left; bytes of characters that a cut splits go too. Other
+    columns, whatever their names, stay as they are; a null text stays null."""
+    of = "__knotwork_key"
+    rows = docs.withColumn(of, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    changes = dedup(docs.select("doc_id", "text"), reach)[1]
 
     def clean(it):
         for batch in it:
-            texts = [None if rest is None else rest.decode("utf-8", "ignore") for rest in batch.column("rest").to_pylist()]
-            at = batch.schema.get_field_index("rest")
-            yield batch.set_column(at, "rest", pa.array(texts, pa.string()))
+            texts = [rest.decode("utf-8", "ignore") for rest in batch.column("rest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=[of, "__knotwork_rest"])
 
-    schema = docs.withColumn("rest", F.lit(None).cast("string")).schema
-    changed = out.select(*columns, "rest").mapInArrow(clean, schema)
-    return changed.withColumn("text", F.coalesce("rest", "text")).select(*columns)
+    rests = changes.select("key", "rest").mapInArrow(clean, f"{of} binary, __knotwork_rest string")
+    text = F.when(F.col("text").isNotNull(), F.coalesce("__knotwork_rest", "text")).alias("text")
+    return rows.join(rests, of, "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))

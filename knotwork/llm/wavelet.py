@@ -8,7 +8,8 @@ and restore all ids, without another index.
 
 File layout (little-endian, sections compressed with zstd one by one, so that a
 reader opens only what it needs): magic, counts, section lengths, document ids,
-document lengths, zeros of each plane, then the planes. Files are rows of a Parquet
+document lengths, zeros of each plane, then each plane and its directory, which is
+unpacked when first asked. A file has as many planes as its largest id has bits. Files are rows of a Parquet
 table (shard, block, payload), the one writer that reaches every store Spark knows.
 
 Defined results: a null text counts as empty and still gets its end id; repeated rows
@@ -30,21 +31,24 @@ from pyspark.sql import functions as F
 from .common import crc_of, saved
 from .tokens import Encoder
 
-MAGIC = b"KWM1"
+MAGIC = b"KWM2"
 #: Ids a shard's file holds before the next begins (a longer document has a file of its own).
 BLOCK_IDS = 1 << 18
 _STEP = 512  # bits between directory entries
 
 
 class Plane:
-    """A bit vector with counts of ones before every ``_STEP``-th bit."""
+    """A bit vector with its directory: counts of ones before every ``_STEP``-th bit."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.packed, self.n = packed, n
+    def __init__(self, packed: np.ndarray, n: int, before: np.ndarray):
+        self.packed, self.n, self.before = packed, n, before
+
+    @staticmethod
+    def directory(packed: np.ndarray, n: int) -> np.ndarray:
         whole = np.zeros(-(-n // _STEP) * (_STEP // 8), np.uint8)
         whole[: len(packed)] = packed
         ones = np.bitwise_count(whole).reshape(-1, _STEP // 8).sum(axis=1, dtype=np.int64)
-        self.before = np.concatenate([[0], np.cumsum(ones)])
+        return np.concatenate([[0], np.cumsum(ones)])
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3] >> (7 - (i & 7))) & 1
@@ -64,8 +68,10 @@ class Plane:
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, zeros: list[int], packed: list[np.ndarray]):
-        self.n, self.zeros, self.packed, self._planes = n, zeros, packed, {}
+    """Bit planes and their directories, each given as an array or as a function that unpacks it."""
+
+    def __init__(self, n: int, zeros: list[int], packed: list, directories: list):
+        self.n, self.zeros, self.packed, self.directories, self._planes = n, zeros, packed, directories, {}
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -77,7 +83,11 @@ class WaveletMatrix:
             ones, rest = np.flatnonzero(b), np.flatnonzero(~b)
             zeros.append(len(rest))
             a = np.concatenate((a.take(rest), a.take(ones)))
-        return cls(len(ids), zeros, packed)
+        return cls(len(ids), zeros, packed, [Plane.directory(p, len(ids)) for p in packed])
+
+    @staticmethod
+    def _given(section) -> np.ndarray:
+        return section() if callable(section) else section
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the partings from the lowest plane up."""
@@ -85,7 +95,7 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         a = np.zeros(self.n, kind)
         for level in reversed(range(bits)):
-            b = np.unpackbits(self.packed[level], count=self.n).view(bool)
+            b = np.unpackbits(self._given(self.packed[level]), count=self.n).view(bool)
             z = self.zeros[level]
             a[z:] |= kind(1 << (bits - 1 - level))
             before = np.empty_like(a)
@@ -96,7 +106,7 @@ class WaveletMatrix:
 
     def plane(self, level: int) -> Plane:
         if level not in self._planes:
-            self._planes[level] = Plane(self.packed[level], self.n)
+            self._planes[level] = Plane(self._given(self.packed[level]), self.n, self._given(self.directories[level]))
         return self._planes[level]
 
     def access(self, i: int) -> int:
@@ -132,15 +142,16 @@ class WaveletMatrix:
         return at
 
 
-def to_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
+def to_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     pack = zstandard.ZstdCompressor(level=1).compress
+    bits = max(1, int(ids.max(initial=0)).bit_length())
     matrix = WaveletMatrix.of(ids, bits)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     sections = [
         pack(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes()),
         pack(np.array(lengths, "<u4").tobytes()),
         np.array(matrix.zeros, "<u8").tobytes(),
-        *(pack(p.tobytes()) for p in matrix.packed),
+        *(pack(s.tobytes()) for p, d in zip(matrix.packed, matrix.directories) for s in (p, d.astype("<u4"))),
     ]
     head = MAGIC + struct.pack("<QII", matrix.n, len(doc_ids), bits)
     return head + np.array([len(s) for s in sections], "<u8").tobytes() + b"".join(sections)
@@ -151,8 +162,8 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     if data[:4] != MAGIC:
         raise ValueError("not a wavelet matrix file")
     n, docs, bits = struct.unpack_from("<QII", data, 4)
-    sizes = np.frombuffer(data, "<u8", bits + 3, 20)
-    ends = (20 + 8 * (bits + 3) + np.cumsum(sizes)).tolist()
+    sizes = np.frombuffer(data, "<u8", 2 * bits + 3, 20)
+    ends = (20 + 8 * (2 * bits + 3) + np.cumsum(sizes)).tolist()
     view = [data[int(e) - int(s) : int(e)] for e, s in zip(ends, sizes)]
     unpack = zstandard.ZstdDecompressor().decompress
     raw = unpack(view[0])
@@ -160,14 +171,14 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return (
         [d if k else None for d, k in zip(ids, known)],
         np.frombuffer(unpack(view[1]), "<u4"),
-        WaveletMatrix(n, np.frombuffer(view[2], "<u8").astype(int).tolist(), [np.frombuffer(unpack(v), np.uint8) for v in view[3:]]),
+        WaveletMatrix(n, np.frombuffer(view[2], "<u8").astype(int).tolist(), [lambda v=v: np.frombuffer(unpack(v), np.uint8) for v in view[3::2]], [lambda v=v: np.frombuffer(unpack(v), "<u4").astype(np.int64) for v in view[4::2]]),
     )
 
 
 _FILES = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: int = 16, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` into files (shard, block, n_tokens, payload), ids ascending."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -178,7 +189,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: int = 16, bloc
 
         def file():
             lengths, ids = [len(p) for p in parts], np.concatenate(parts)
-            row = [shard], [block], [len(ids)], [to_file(doc_ids, lengths, ids, bits)]
+            row = [shard], [block], [len(ids)], [to_file(doc_ids, lengths, ids)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _FILES.types)], schema=_FILES)
 
         for batch in it:

@@ -51,7 +51,7 @@ def test_full_cache_is_emptied(plain):
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype("<u4")
-    doc_ids, lengths, m = wavelet.from_file(wavelet.to_file([5, None], [n, 0], ids, 16))
+    doc_ids, lengths, m = wavelet.from_file(wavelet.to_file([5, None], [n, 0], ids))
     assert doc_ids == [5, None] and lengths.tolist() == [n, 0]
     assert m.ids().tolist() == ids.tolist()
     for i in range(0, n, max(1, n // 40)):
@@ -61,6 +61,13 @@ def test_wavelet_matrix(n):
     assert m.count(299) == int((ids == 299).sum()) and m.count(1 << 20) == 0
 
 
+def test_wavelet_matrix_of_large_ids():
+    ids = np.array([70_000, 3, 1 << 31, 70_000, 0], "<u4")
+    m = wavelet.from_file(wavelet.to_file([1], [5], ids))[2]
+    assert m.ids().tolist() == ids.tolist() and [m.access(i) for i in range(5)] == ids.tolist()
+    assert m.count(70_000) == 2 and m.find(70_000, 1) == 3
+
+
 def expected_tokens(rows, plain):
     found, start = {}, 0
     for row in sorted(rows, key=lambda r: r[0]):
