@@ -67,8 +67,8 @@ class WordCache(dict):
 
 
 class WordTable(dict):
-    """As WordCache, for row numbers of words in a growing matrix; row 0 holds zeros and stands for
-    words without a row."""
+    """As WordCache, for row numbers of words in a growing matrix; row 0 holds zeros and stands for words
+    without a row. ``make`` gives, for a list of words, which have a row, and these rows."""
 
     def __init__(self, make: Callable, width: int, limit: int = CACHE_WORDS):
         super().__init__()
@@ -76,22 +76,31 @@ class WordTable(dict):
         self.matrix = np.zeros((1024, width), np.float32)
         self.older, self.older_matrix = {}, self.matrix
 
-    def __missing__(self, word):
-        known, at = self.older.get(word), 0
-        row = (self.older_matrix[known] if known else None) if known is not None else self.make(word)
-        if row is not None:
-            if self.used == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            at, self.used = self.used, self.used + 1
-            self.matrix[at] = row
-        self[word] = at
-        return at
-
-    def trim(self) -> None:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Row numbers of ``words`` in ``matrix``, until the next call."""
         if len(self) > self.limit:
-            self.older, self.older_matrix = dict(self), self.matrix[: self.used].copy()
+            self.older, self.older_matrix, self.used = dict(self), self.matrix[: self.used].copy(), 1
             self.clear()
-            self.used = 1
+        found = list(map(self.get, words))
+        if None in found:
+            new = dict.fromkeys([w for w, at in zip(words, found) if at is None])
+            if self.older and (back := [w for w in new if w in self.older]):
+                at = np.fromiter(map(self.older.__getitem__, back), np.int64, len(back))
+                self._add(back, at > 0, self.older_matrix[at[at > 0]])
+            if fresh := [w for w in new if w not in self]:
+                self._add(fresh, *self.make(fresh))
+            found = list(map(self.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def _add(self, words: list[str], live: np.ndarray, rows: np.ndarray) -> None:
+        end = self.used + len(rows)
+        while end > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[self.used : end] = rows
+        places = np.zeros(len(words), np.int64)
+        places[live] = np.arange(self.used, end)
+        self.used = end
+        self.update(zip(words, places.tolist()))
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:

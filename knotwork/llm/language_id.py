@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,43 +47,47 @@ _COUNTS_PA = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("item", pa
 
 def _count_words(it):
     def rows():
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
         for batch in it:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                held.update(zip([lang] * len(words := text.split()), words))
-                if len(held) > _HELD:
+                held.setdefault(lang, Counter()).update(text.split())
+                if sum(map(len, held.values())) > _HELD:
                     yield from drain(held)
-                    held = Counter()
+                    held = {}
         yield from drain(held)
 
     def drain(held):
-        clean, out = WordCache(clean_word), Counter()
-        for (lang, token), n in held.items():
-            if word := clean[token]:
-                out[lang, word] += n
-        for (lang, word), n in out.items():
-            yield lang, 0, word, n
+        clean = WordCache(clean_word)
+        for lang, counts in held.items():
+            out: Counter = Counter()
+            for token, n in counts.items():
+                if word := clean[token]:
+                    out[word] += n
+            for word, n in out.items():
+                yield lang, 0, word, n
 
     return batches(rows(), _COUNTS_PA)
 
 
 def _count_grams(it):
+    """Counts what stands at each position, up to five characters; the shorter n-grams begin these."""
+
     def rows():
-        held: dict[tuple[str, int], Counter] = {}
+        held: dict[tuple[str, int], Counter] = {}  # first: at a word's start, which is no character of its own
         fed = 0
         for batch in it:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n"))):
                 # A word may be a whole text without spaces, so it is counted piece by piece.
-                padded = f"^{word}$"
-                for at in range(0, len(padded), _PIECE):
-                    for order in ORDERS:
-                        of, counts = padded if order > 1 else word, held.setdefault((lang, order), Counter())
-                        grams = [of[i : i + order] for i in range(at, min(at + _PIECE, len(of) - order + 1))]
-                        if n == 1:
-                            counts.update(grams)
-                        else:
-                            for gram in grams:
-                                counts[gram] += n
+                padded, longest = f"^{word}$", ORDERS[0]
+                held.setdefault((lang, True), Counter())[padded[:longest]] += n
+                for at in range(1, len(padded) - 1, _PIECE):
+                    counts = held.setdefault((lang, False), Counter())
+                    found = [padded[i : i + longest] for i in range(at, min(at + _PIECE, len(padded) - 1))]
+                    if n == 1:
+                        counts.update(found)
+                    else:
+                        for gram in found:
+                            counts[gram] += n
                     fed += min(len(word), _PIECE)
                     if fed >= _PIECE:
                         fed = 0
@@ -92,9 +97,16 @@ def _count_grams(it):
         yield from drain(held)
 
     def drain(held):
-        for key, counts in held.items():
-            for gram, n in counts.items():
-                yield *key, gram, n
+        for lang in sorted({lang for lang, _ in held}):
+            for order in ORDERS:
+                out: Counter = Counter()
+                for first in (True, False):
+                    if order > 1 or not first:
+                        for found, n in held.get((lang, first), {}).items():
+                            if len(found) >= order:
+                                out[found[:order]] += n
+                for gram, n in out.items():
+                    yield lang, order, gram, n
 
     return batches(rows(), _COUNTS_PA)
 
@@ -113,34 +125,38 @@ class Model:
         self.logs = np.log((n + 0.5) / (total[kinds] + 1000.0)).astype(np.float32)
         for at, (kind, item) in enumerate(unique):
             self.rows[kind][item] = at
-        self.by_order = [(order, self.rows[order]) for order in ORDERS]
 
-    def word(self, token: str) -> np.ndarray | None:
-        word = clean_word(token)
-        if not word:
-            return None
+    def _longest(self, ahead: str) -> int:
+        """The row of the longest known n-gram that begins ``ahead``; -1 without one."""
+        for order in ORDERS:
+            if len(ahead) >= order and (row := self.rows[order].get(ahead[:order])) is not None:
+                return row
+        return -1
+
+    def rows_of(self, word: str, longest: WordCache) -> list[int]:
+        """Rows whose mean stands for a cleaned word: its own, or one of each position's n-gram."""
         if (known := self.rows[0].get(word)) is not None:
-            return self.logs[known]
-        padded, found = f"^{word}$", []
-        for i in range(len(padded) - 1):
-            for order, rows in self.by_order:
-                row = rows.get(padded[i : i + order])
-                if row is not None:
-                    found.append(row)
-                    break
-        return np.add.reduce(self.logs.take(found, axis=0)) / len(found) if found else np.zeros(len(self.langs), np.float32)
+            return [known]
+        padded, size = f"^{word}$", ORDERS[0]
+        return [row for row in map(longest.__getitem__, [padded[i : i + size] for i in range(len(padded) - 1)]) if row >= 0]
+
+    def word(self, token: str) -> np.ndarray | None:
+        """Log frequencies of a word in each language; None without a letter."""
+        live, rows = self._vectors([token], WordCache(self._longest))
+        return rows[0] if live[0] else None
 
     def scorer(self):
         """A function from a text to (language, score)."""
-        table = WordTable(self.word, len(self.langs))
+        longest = WordCache(self._longest)
+        table = WordTable(lambda words: self._vectors(words, longest), len(self.langs))
 
         def score(text: str | None) -> tuple[str, float]:
             total, n, words = np.zeros(len(self.langs)), 0, (text or "").split()
             for at in range(0, len(words), 50_000):
-                table.trim()
-                ids = np.fromiter(map(table.__getitem__, words[at : at + 50_000]), np.int64)
+                ids = table.places(words[at : at + 50_000])
                 total += table.matrix[ids].sum(axis=0, dtype=np.float64)
                 n += int(np.count_nonzero(ids))
+            longest.trim()
             if not n or not self.langs:
                 return "und", 0.0
             best = int(np.argmax(total))
@@ -149,6 +165,20 @@ class Model:
 
         return score
 
+    def _vectors(self, words: list[str], longest: WordCache) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``words`` have a letter, and a row of log frequencies for each of these."""
+        clean = list(map(clean_word, words))
+        live = np.array([bool(w) for w in clean], bool)
+        found = [self.rows_of(w, longest) for w in clean if w]
+        sizes = np.array([len(f) for f in found], np.int64)
+        out = np.zeros((len(found), len(self.langs)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(self.logs.take(flat, axis=0), starts, axis=0) / sizes[some, None]
+        return live, out
+
 
 def train(rows: DataFrame) -> Model:
     """A model from ``(text, lang)`` rows; counts cover every row with neither null."""
