@@ -72,47 +72,53 @@ def degradation_level(score: Column) -> Column:
     return F.when(score >= 0.6, "record").when(score >= 0.4, "summary").when(score >= 0.2, "gist").otherwise("tombstone")
 
 
-def intent_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-zäöüß0-9]+"), 0)
-
-
-def content_words(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_except(F.filter(intent_words(text), lambda w: F.length(w) >= 3), stop)
-
-
-def clauses(text: Column) -> Column:
-    parts = F.split(F.lower(text), "[.!?;,:()\\[\\]\"']|\\n+")
-    return F.filter(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit("[a-zäöüß0-9]+"), 0)), lambda c: F.size(c) > 0)
-
-
-def _says(clause: Column, marker: str, shared: Column) -> Column:
-    """The marker stands in the clause; after one that needs an object, a shared word is one of the next two."""
-    words = marker.split()
-    n, phrase, c = len(words), F.array(*map(F.lit, words)), clause["words"]
-    found = F.contains(clause["spaced"], F.lit(f" {marker} "))
-    if words[0] not in OBJECT_MARKERS:
-        return found
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.slice(c, i, n) == phrase)
-    return found & F.exists(places, lambda i: F.arrays_overlap(F.slice(c, i + n, 2), shared))
-
-
-def _in_clause(marker: str, shared: Column):
-    return lambda clause: _says(clause, marker, shared)
-
-
-def detect_intent(new: Column, old: Column) -> Column:
-    """supersedes, contradicts or continues, in this order, if a marker of it shares a clause of either
-    text with a content word of both; else null."""
-    shared = F.array_intersect(content_words(new), content_words(old))
-    both = F.transform(
-        F.filter(F.concat(clauses(new), clauses(old)), lambda c: F.arrays_overlap(c, shared)),
-        lambda c: F.struct(c.alias("words"), F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")).alias("spaced")),
-    )
-    out = F.lit(None).cast("string")
-    for kind in reversed(PRIORITY):
-        hit = F.lit(False)
-        for marker in PRIORITY[kind]:
-            hit = hit | F.exists(both, _in_clause(marker, shared))
-        out = F.when(hit, F.lit(kind)).otherwise(out)
-    return F.when(F.size(shared) > 0, out)
+def escaped(text: Column) -> Column:
+    """For table cells: a backslash before what Markdown or HTML would read."""
+    for sign in "|<>&":
+        text = F.replace(text, F.lit(sign), F.lit("\\" + sign))
+    return text
+
+
+def cell(text: Column, size: int) -> Column:
+    """A snippet, cut first and escaped then, so that no escape is cut in half."""
+    return escaped(snippet(F.coalesce(text, F.lit("")), size))
+
+
+def body(text: Column) -> Column:
+    """What follows a head between lines of ---, or the whole text."""
+    after = F.regexp_extract(text, r"(?s)\A---\n.*?\n---\n\n?(.*)\z", 1)
+    return F.trim(F.when(text.startswith("---\n") & text.rlike(r"(?s)\A---\n.*?\n---\n"), after).otherwise(text))
+
+
+def parsed(stamp: Column, missing: Column) -> Column:
+    """Seconds since 1970 of an ISO stamp (UTC where it names no zone); ``missing`` where it is none."""
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp)), missing)
+
+
+def age_days(created: Column, now_s: int) -> Column:
+    """Age of an ISO stamp in days; 0 if it can't be read."""
+    return F.coalesce((F.lit(now_s) - F.unix_timestamp(F.try_to_timestamp(created))) / 86400.0, F.lit(0.0))
+
+
+def decay_level(recalls: Column, age: Column) -> Column:
+    """Level of retention times decay."""
+    return degradation_level(retention(recalls) * weibull(age))
+
+
+def confidence_band(confidence: Column) -> Column:
+    return F.when(confidence.isNull() | (confidence < 0.45), "none").when(confidence < 0.75, "low").when(confidence < 0.95, "mid").otherwise("auto")
+
+
+#: Kinds that older files name in German.
+OLD_KINDS = {"aehnlich": "similar", "ähnlich": "similar", "erweitert": "extends", "kontradiktorisch": "contradicts"}
+
+
+def migrated_kind(kind: Column) -> Column:
+    out = kind
+    for old, new in OLD_KINDS.items():
+        out = F.when(kind == old, new).otherwise(out)
+    return out
+
+
+def origin_of(kind: Column, confidence: Column) -> Column:
+    return F.when(kind.isin(*PRIORITY), "intent").when(confidence.isNotNull(), "suggester").otherwise("manual")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.sources.cut import cut
+
 BOUND = 2_000_000
 
 
@@ -54,7 +56,8 @@ def synchronous_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         counts = both.join(now.withColumnRenamed("id", "v"), "v").groupBy("u", "label").agg(F.count("*").alias("n"))
         first = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "label"))
-        now = counts.withColumn("rk", first).where("rk = 1").select(F.col("u").alias("id"), "label").checkpoint()
+        now = counts.withColumn("rk", first).where("rk = 1").select(F.col("u").alias("id"), "label")
+        now = cut(now)
     return now
 
 
@@ -108,14 +111,51 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None) -
     return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * (len(ids) / max(1, len(sources)) / norm)).alias("betweenness"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 4) -> DataFrame:
-    """The shortest path, the first in order of its ids among equals, as one row (path); none if out of reach."""
+def shortest_paths(edges: DataFrame, start: str, depth: int = 4, goal: str | None = None) -> DataFrame:
+    """(id, path) of every node within ``depth`` steps, or of ``goal`` alone: the shortest path, the first in order of
+    its ids among equals. A frontier is joined with the edges once a step."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
     now = edges.sparkSession.createDataFrame([(start, [start])], "u string, path array<string>")
-    for _ in range(depth if start != goal else 0):
-        if not now.where(F.col("u") == goal).isEmpty():
+    seen = now
+    for _ in range(depth if goal != start else 0):
+        if goal is not None and not now.where(F.col("u") == goal).isEmpty():
             break
-        seen = now.select(F.col("u").alias("v"))
-        grown = now.join(both, "u").where(~F.array_contains("path", F.col("v"))).join(seen, "v", "left_anti")
-        now = grown.groupBy("v").agg(F.min(F.concat("path", F.array("v"))).alias("path")).select(F.col("v").alias("u"), "path")
-    return now.where(F.col("u") == goal).select("path")
+        grown = now.join(both, "u").join(seen.select(F.col("u").alias("v")), "v", "left_anti")
+        now = cut(grown.groupBy("v").agg(F.min(F.concat("path", F.array("v"))).alias("path")).select(F.col("v").alias("u"), "path"))
+        seen = seen.unionByName(now)
+    out = seen.select(F.col("u").alias("id"), "path")
+    return out.where(F.col("id") == goal) if goal is not None else out.where(F.col("id") != start)
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 4) -> DataFrame:
+    """One row (path); none if out of reach."""
+    return shortest_paths(edges, start, depth, goal).select("path")
+
+
+def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 1, kinds: list[str] | None = None, pending: bool = False, limit: int | None = None) -> DataFrame:
+    """(id, text, kind, direction, pending, confidence, hops) around a node, in order of hops, kind and id. Edges are live
+    and run both ways; those to a tombstone don't count. Of several ways to a node the first holds: by the order in
+    which the nearer nodes were found, then kind and seq. Beyond the first step a direction is the other way round."""
+    dead = nodes.where("status = 'tombstone'").select("id")
+    rows = edges.where("not rejected and to_s is null and source <> target")
+    rows = rows if pending else rows.where("not pending")
+    rows = rows if kinds is None else rows.where(F.col("kind").isin(*kinds) if kinds else F.lit(False))
+    for end in ("source", "target"):
+        rows = rows.join(dead.withColumnRenamed("id", end), end, "left_anti")
+    arc = lambda u, v, way: rows.select(F.col(u).alias("u"), F.col(v).alias("v"), "kind", "seq", "pending", "confidence", F.lit(way).alias("direction"))
+    arcs = arc("source", "target", "out").unionByName(arc("target", "source", "in"))
+    front = nodes.sparkSession.createDataFrame([(node_id, 0)], "u string, ord long")
+    seen, out = front.select("u"), None
+    for hop in range(1, hops + 1):
+        way = F.col("direction") if hop == 1 else F.when(F.col("direction") == "out", "in").otherwise("out")
+        steps = arcs.join(front, "u").join(seen.withColumnRenamed("u", "v"), "v", "left_anti")
+        first = F.row_number().over(Window.partitionBy("v").orderBy("ord", "kind", "seq"))
+        found = steps.withColumn("rk", first).where("rk = 1").select(F.col("v").alias("id"), "kind", way.alias("direction"), "pending", "confidence", F.lit(hop).cast("long").alias("hops"), "ord")
+        if hop < hops:
+            found = cut(found)
+            # The order of finding: by the nearer node's, then kind and id. One node's surroundings.
+            front = found.select(F.col("id").alias("u"), F.row_number().over(Window.orderBy("ord", "kind", "id")).cast("long").alias("ord"))
+            seen = seen.union(found.select("id"))
+        out = found if out is None else out.unionByName(found)
+    named = out.join(nodes.select("id", "text"), "id", "left").select("id", "text", "kind", "direction", "pending", "confidence", "hops").orderBy("hops", "kind", "id")
+    return named if limit is None else named.limit(limit)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knotwork.sources.cut import cut
+
 BLOCK = 2048
 #: Bands of similarity and the edge kind each suggests.
 SIMILAR, EXTENDS, AUTO_ACCEPT = 0.75, 0.45, 0.95
@@ -27,6 +29,7 @@ def dominant_dimension(vectors: DataFrame) -> DataFrame:
 
 def _blocks(vectors: DataFrame) -> DataFrame:
     """Every pair of blocks (i <= j) with the rows of both, so that a task compares two bounded blocks."""
+    vectors = cut(vectors)
     n = max(1, -(-vectors.count() // BLOCK))
     own = vectors.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -39,29 +39,90 @@ def to_markdown(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.concat_ws("\n", *parts).alias("value"))
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache().where("_bad is null").drop("_bad")
+def _json(spark: SparkSession, path: str, schema: str, order: bool = False) -> DataFrame:
+    """Rows of JSON lines without the malformed ones; ``order`` adds file, block and line, which sort as the lines stand."""
+    lines = spark.read.text(path)
+    if order:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.where(F.trim("value") != "").withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows.where("row is not null and row._bad is null").select("row.*", *(["file", "block", "line"] if order else [])).drop("_bad")
 
 
 def read_edges(spark: SparkSession, path: str, now: str, rejected: bool = False) -> DataFrame:
-    """Malformed lines are left out; a missing pending or rejected is false, a missing valid_from is ``now``."""
-    edges = _json(spark, path, EDGE).where("id is not null").fillna(False, ["pending", "rejected"]).fillna(now, ["valid_from"])
+    """Malformed lines are left out; a missing pending or rejected is false, a missing valid_from is ``now``. seq is the
+    lines' order."""
+    edges = _json(spark, path, EDGE, order=True).where("id is not null").fillna(False, ["pending", "rejected"]).fillna(now, ["valid_from"])
+    edges = numbered(edges, "seq")
     return edges if rejected else edges.where("not rejected")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of ``_json`` with their place among all lines instead of file, block and line. Lines of one block are counted
+    by its own window; blocks, which are few, get their starts from a running sum."""
+    block = ["file", "block"]
+    inside = rows.withColumn("at", F.row_number().over(Window.partitionBy(*block).orderBy("line")))
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"))
+    starts = sizes.select(*block, (F.sum("n").over(Window.orderBy(*block)) - F.col("n")).alias("start"))  # a row a block of a file
+    return inside.join(starts, block).withColumn(name, F.col("start") + F.col("at") - 1).drop("start", "at", "line", *block)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each id."""
-    rows = _json(spark, path, "id string, vec array<double>, _bad string").where("id is not null and vec is not null").withColumn("at", F.monotonically_increasing_id())
-    return rows.groupBy("id").agg(F.max_by("vec", "at").alias("vec"))
+    """The last line of each id, whatever files they stand in."""
+    rows = _json(spark, path, "id string, vec array<double>, _bad string", order=True).where("id is not null and vec is not null")
+    return rows.groupBy("id").agg(F.max_by("vec", F.struct("file", "block", "line")).alias("vec"))
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """JSON lines in id order."""
+    vectors.select("id", "vec").orderBy("id").write.mode("overwrite").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, RECALL)
 
 
+def append_usage(events: DataFrame, path: str) -> None:
+    """Adds rows (ts, q, ids) to a ledger; empty ids are dropped, and rows without any are not written."""
+    known = events.withColumn("ids", F.filter("ids", lambda i: i.isNotNull() & (i != ""))).where(F.size("ids") > 0)
+    known.select("ts", "q", "ids").write.mode("append").json(path)
+
+
+#: Rows that a batch run leaves about itself, and the history of strategies.
+METRICS = "ts string, nodes_before long, nodes_after long, nodes_added long, findings long, failed long, true_merges long, islands_found long, duration_s double, timed_out boolean, aborted string, marker_fails long, marker_words array<string>, _bad string"
+
+
+def read_metrics(spark: SparkSession, path: str, last: int | None = 6) -> DataFrame:
+    """The ``last`` lines (all for None), malformed ones left out, with their place in seq."""
+    rows = numbered(_json(spark, path, METRICS, order=True), "seq")
+    return rows if last is None else rows.orderBy(F.desc("seq")).limit(last).orderBy("seq")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value): the lines that are JSON, as they stand."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return numbered(lines.where(F.trim("value") != "").where(F.expr("try_parse_json(value)").isNotNull()), "seq").select("seq", "value")
+
+
+def read_legacy(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of the oldest files: nodes (id, text, created) and edges (id, source, target, kind, pending, created), times
+    in seconds, 0 where missing."""
+    a = _json(spark, nodes, "id string, text string, created double, _bad string").where("id is not null and text is not null").fillna(0.0, ["created"])
+    b = _json(spark, edges, "id string, source string, target string, kind string, pending boolean, created double, _bad string").where("id is not null").fillna(0.0, ["created"]).fillna(False, ["pending"])
+    return a, b
+
+
+def resolve_legacy(edges: DataFrame, edge_id: str, accept: bool) -> DataFrame:
+    """There a rejected edge is deleted."""
+    hit = (F.col("id") == edge_id) & F.col("pending")
+    return edges.withColumn("pending", F.col("pending") & ~hit) if accept else edges.where(~hit)
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """(area, ord, keyword) of a JSON object of lists."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("areas"))
+    """(area, ord, keyword) of a JSON object of lists; anything else is refused."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("areas"), F.from_json("value", "map<string, string>").alias("raw"))
+    lists = F.forall(F.map_values("raw"), lambda v: v.startswith("["))
+    if not whole.where(F.coalesce(F.col("areas").isNull() | ~lists, F.lit(True))).isEmpty():
+        raise ValueError("a taxonomy is a JSON object of lists of keywords")
     return whole.select(F.explode("areas").alias("area", "keywords")).select("area", F.posexplode("keywords").alias("ord", "keyword"))
 
 
@@ -74,5 +135,10 @@ def collect_findings(spark: SparkSession, path: str, source: str = "unknown") ->
     return rows.withColumn("rk", first).where("rk = 1").select("source", "finding")
 
 
+def write_markdown(nodes: DataFrame, path: str) -> None:
+    """A folder a node, each with its Markdown file; ``read_nodes`` takes ``path/*``."""
+    to_markdown(nodes).repartition("id").write.mode("overwrite").partitionBy("id").option("lineSep", "\n").text(path)
+
+
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)

@@ -70,6 +70,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).where("status <> 'tombstone'").select("id", F.explode(words_of(F.col("text"))).alias("word"))
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+
+
 def embedded(rows: DataFrame, key: str) -> DataFrame:
     """Hash embedding of ``rows(key, word)``: (key, dim, w) with whole weights, zero ones left out."""
     digest = F.sha2(F.col("word"), 256)
@@ -95,6 +99,7 @@ VIEWS = {
     "words": words,
     "searches": searches,
     "taxonomy": taxonomy,
+    "numbered": numbered,
     "embeds": lambda s, d: embedded(words(s, d), "id"),
     "sembeds": lambda s, d: embedded(searches(s, d), "qid"),
 }
@@ -126,5 +131,6 @@ SQL = {
     "embeds": _EMBED.format(key="id", rows="words"),
     "sembeds": _EMBED.format(key="qid", rows="searches"),
 }
+SQL["numbered"] = "(select doc_id as seq, text from documents)"
 SQL["taxonomy"] = f"(select * from (values {', '.join(map(str, TAXONOMY))}) t(area, keyword))"
 NEEDS = {"words": ["nodes"], "embeds": ["nodes", "words"], "sembeds": ["searches"]}

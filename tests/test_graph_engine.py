@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork import queries
+from knotwork.functions import intent
 from knotwork.functions import text as T
-from knotwork.operators import graph, transitions, vectors
+from knotwork.operators import graph, search, transitions, vectors
 from knotwork.sources import files
 from knotwork.streaming import recalls
 
@@ -80,8 +81,10 @@ def test_vectors(spark):
     ],
 )
 def test_intent(spark, new, old, kind):
+    assert intent.kind_of(new, old) == kind
     row = spark.createDataFrame([(new, old)], "new string, old string")
-    assert row.select(T.detect_intent(F.col("new"), F.col("old")).alias("k")).first().k == kind
+    both = intent.profiles(intent.profiles(row, "new", "a"), "old", "b")
+    assert intent.with_kind(both, "a", "b").first().intent == kind
 
 
 def test_text_functions(spark):
@@ -104,9 +107,16 @@ def test_transitions(spark):
     assert state(no)["e0"] == (False, True, None) and state(transitions.undo(no, "e0"))["e0"] == (True, False, None)
     n2, e2 = transitions.forget(n, e, "b", 99)
     assert {r.id for r in n2.where("status = 'tombstone'").collect()} == {"b"} and sum(r.to_s == 99 for r in e2.collect()) == 3
-    n3, e3 = transitions.merge(n, e, "a", "b", 99)
-    assert {(r.source, r.target, r.to_s) for r in e3.collect()} == {("a", "c", 99)}
-    assert {r.id: (r.text, r.status) for r in n3.collect()}["a"] == ("one\n\ntwo", "active")
+    assert state(transitions.undo(transitions.resolve(e, "e0", True), "e0"))["e0"] == (True, False, None)
+    n3, e3 = transitions.merge(n, e, "a", "b", "2024-01-01", 99)
+    # b's own statement stays where it was and is closed; a-c comes before c-b, which would be the same pair.
+    assert {(r.id, r.source, r.target, r.to_s) for r in e3.collect()} == {("e1", "b", "c", 99), ("e2", "a", "c", None)}
+    assert transitions.merge_counts(e, "a", "b").first().asDict() == {"edges_redirected": 2, "edges_removed": 2, "edges_invalidated": 1}
+    after = {r.id: (r.text, r.status) for r in n3.collect()}
+    assert after["a"] == ("one\n\n[consolidated from b on 2024-01-01: two]", "active") and after["b"][1] == "tombstone"
+    for bad in (("a", "a"), ("a", "nobody")):
+        with pytest.raises(ValueError):
+            transitions.merge(n, e, *bad, "2024-01-01", 99)
     assert transitions.link(n, e, "a", "c", "extends", 5).count() == 4 and transitions.link(n, e, "c", "a", "extends", 5).count() == 5
     with pytest.raises(ValueError):
         transitions.link(n, e, "a", "nobody", "extends", 5)
@@ -118,8 +128,9 @@ def test_review_cap_and_consolidation(spark):
     assert accepted == {"e0", "e1", "e2", "e5"}
     n = nodes(spark, ("a", "Same  text", "active"), ("b", "same text", "probation"), ("c", "new", "probation"), ("d", "NEW", "probation"))
     assert {r.id: r.status for r in transitions.consolidate(n).collect()} == {"a": "active", "b": "tombstone", "c": "active", "d": "tombstone"}
-    more = spark.createDataFrame([("x", "SAME text", "s", 1), ("y", "fresh", "s", 2), ("z", "Fresh ", "s", 3)], "id string, text string, source string, created_s long")
-    assert {r.id for r in transitions.ingest(n, more).collect()} == {"a", "b", "c", "d", "y"}
+    related = edges(spark, ("c", "z", "similar", True))
+    assert {r.id: r.status for r in transitions.consolidate(n, admitted_by=related).collect()} == {"a": "active", "b": "tombstone", "c": "active", "d": "tombstone"}
+    assert {r.id: r.status for r in transitions.consolidate(n, admitted_by=related.limit(0)).collect()}["c"] == "probation"
     assert transitions.demote_forgotten(n, F.lit("tombstone")).where("status = 'tombstone'").count() == 1
     big = spark.createDataFrame([(f"n{i:02}", 0) for i in range(12)] + [("m", 1)], "id string, community int")
     assert [r.size for r in transitions.distill(n, big).collect()] == [12]
@@ -162,7 +173,12 @@ def test_distillation_names_and_links_the_strongest(spark):
     e = edges(spark, *[("n11", m, "extends", False) for m in members[:4]], ("n10", "n03", "similar", False), *[("n09", m, "similar", True) for m in members[:5]])
     n = nodes(spark, *[(m, m, "active") for m in members])
     made = transitions.distill(n, groups, edges=e)
-    assert made.first().digest == "n11, n03, n00, n01, n02"
+    lines = made.first().digest.split("\n")
+    assert lines[0].startswith("Community abstraction (12 nodes, dominant area: UNCLASSIFIED)") and lines[1] == "Edge mix inside the community: similar 6, extends 4."
+    assert lines[3:8] == ["- n11", "- n03", "- n00", "- n01", "- n02"]
+    assert transitions.distill(n, groups, edges=e, summarizer=F.upper).first().digest.startswith("COMMUNITY") and transitions.distill(n, groups, edges=e, limit=0).isEmpty()
+    known = n.unionByName(spark.createDataFrame([(made.first().id, "summary", "c", "en", "semantic", "active", 0)], NODES))
+    assert transitions.distill(known, groups, edges=e).isEmpty()
     links = transitions.summary_edges(made, groups, e).collect()
     assert {(r.source, r.target, r.kind, r.pending) for r in links} == {(made.first().id, m, "extends", False) for m in ("n11", "n03", "n00", "n01", "n02")}
 
@@ -236,12 +252,13 @@ def test_search_uses_every_word(spark, tmp_path):
     assert {r[2] for r in both_engines(spark, where, "hybrid_search")} >= {"d00000000", "d00000003"}
 
 
-def test_find_by_text_compares_whole_texts(spark, tmp_path):
+def test_find_by_text_compares_whole_texts(spark):
     long = "a text that is much longer than forty characters, "
-    docs = [(1, long + "with one end"), (2, long + "with\n ANOTHER  end "), (3, long + "with another end [evolved]"), (4, "100% of it"), (5, "short"), (6, "shortest")]
-    wanted = [(1, long + "with another end"), (2, long + "with no end"), (3, "100_ of it"), (4, "shor"), (5, "Short"), (6, long + "with one")]
-    got = both_engines(spark, written(spark, tmp_path, docs, wanted), "find_by_text")
-    assert got == [(1, "d00000002", True), (4, "d00000005", False), (5, "d00000005", True), (6, "d00000001", False)]
+    texts = [(1, long + "with one end"), (2, long + "with\n ANOTHER  end "), (3, long + "with another end [evolved]"), (4, "100% of it"), (5, "short"), (6, "shortest"), (7, None)]
+    wanted = [(1, long + "with another end"), (2, long + "with no end"), (3, "100_ of it"), (4, "shor"), (5, "Short"), (6, long + "with one"), (7, " "), (8, None)]
+    refs = spark.createDataFrame(wanted, "qid long, text string")
+    got = search.find_by_text(nodes(spark, *[(str(i), t, "active") for i, t in texts]), refs)
+    assert sorted(map(tuple, got.collect())) == [(1, "2", True), (4, "5", False), (5, "5", True), (6, "1", False)]
 
 
 def test_link_check_takes_every_edge(spark, monkeypatch):
