@@ -237,6 +237,17 @@ class Segmenter:
         return text[1:] if text[0] == " " else text
 
 
+_KEPT: dict[str, Segmenter] = {}
+
+
+def kept(path: str) -> Segmenter:
+    """The worker's segmenter of a model, whose bounded caches last from task to task; one model at a time."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Segmenter(path)
+    return _KEPT[path]
+
+
 _ROWS = "n_best int, score double, last_score double, n_pieces long, ids_crc32 long, nbest_crc32 long, round_trip boolean, ids array<array<int>>"
 
 
@@ -245,7 +256,7 @@ def encode(docs: DataFrame, model: str, n: int = N_BEST, with_ids: bool = True)
     of the best, crc32 of all, whether the best decodes to the text, and (``with_ids``) the ids."""
 
     def run(it):
-        segmenter = Segmenter(model)
+        segmenter = kept(model)
         for batch in it:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -266,7 +277,7 @@ def decode(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
     """doc_id and text of ``rows(doc_id, <column> array<int>)``; null ids count as none."""
 
     def run(it):
-        segmenter = Segmenter(model)
+        segmenter = kept(model)
         for batch in it:
             texts = [segmenter.decode(ids or []) for ids in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
