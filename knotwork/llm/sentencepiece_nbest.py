@@ -28,7 +28,7 @@ from .common import WordCache, crc_of
 MARK = "▁"
 _BARE = "\0"  # before a word that doesn't begin with the mark
 N_BEST = 4
-_CACHED = 350_000
+_CACHED = 550_000  # words whose best path is remembered, in each of two generations; about 300 bytes each
 _TAIL = ".,;:!?|"
 
 
