@@ -52,9 +52,9 @@ def features(text: str | None) -> set[str]:
     found, size = set(words), max(1, len(raw))
     same = sum(map(operator.eq, words, words[1:])) / max(1, len(words))
     for name, share in (
-        ("upper", 1 - len(raw.translate(None, _UPPER)) / size),
-        ("digit", 1 - len(raw.translate(None, _DIGIT)) / size),
-        ("symbol", 1 - len(raw.translate(None, _SYMBOL)) / size),
+        ("upper", (len(raw) - len(raw.translate(None, _UPPER))) / size),
+        ("digit", (len(raw) - len(raw.translate(None, _DIGIT))) / size),
+        ("symbol", (len(raw) - len(raw.translate(None, _SYMBOL))) / size),
         ("same", same),
         ("distinct", len(found) / max(1, len(words))),
     ):
