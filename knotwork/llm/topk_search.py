@@ -5,8 +5,8 @@ a histogram of each query's scores and passes on the highest bins that hold its
 (a lower bin can't hold the k-th value of all). The summed histogram shows the bin of
 the k-th value, the next pass divides that bin, and so on until it holds one score or
 few rows. Then only rows at or above it are passed on, at most k a query and task, and
-ties go to the smaller id. Queries come in blocks of bounded size, so nothing that is
-broadcast grows with the data.
+ties go to the smaller id. Queries come in blocks of bounded size, ``WAVE`` of them in one
+job, so nothing that is broadcast or gathered at a time grows with the data.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
 part, nor does an empty vector; a query meets only vectors of its own length and none
@@ -16,13 +16,17 @@ count; with fewer than k candidates all are returned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are matched at a time (the broadcast), and bins of a histogram.
-QUERY_BLOCK, BINS = 2048, 64
+from .common import saved
+
+#: Queries that are matched at a time (a broadcast), blocks in a job, and bins of a histogram.
+QUERY_BLOCK, WAVE, BINS = 2048, 8, 64
 
 
 def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -72,25 +76,36 @@ class _Block:
                 yield rows, ids, s, self.ids[rows][:, None] != ids[None, :]
 
 
-def _histograms(block: _Block, vectors: DataFrame) -> np.ndarray:
-    held = vectors.sparkSession.sparkContext.broadcast(block)
+def _histograms(blocks: list[_Block], vectors: DataFrame) -> list[np.ndarray]:
+    """Counts of each block's scores in its queries' bins, all in one job."""
 
-    def run(it):
-        b = held.value
-        counts = np.zeros((len(b.ids), BINS), np.int64)
-        for batch in it:
-            for rows, _, s, other in b.matched(batch):
-                at = (s - b.low[rows][:, None]) // b.width[rows][:, None]
-                fit = other & (at >= 0) & (at < BINS) & b.open[rows][:, None]
-                counts += np.bincount((rows[:, None] * BINS + at)[fit], minlength=counts.size).reshape(counts.shape)
-        higher = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
-        q, bin_ = np.nonzero((counts > 0) & (higher < b.k))
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(bin_), pa.array(counts[q, bin_])], names=["q", "bin", "n"])
+    def part(number: int) -> DataFrame:
+        held = vectors.sparkSession.sparkContext.broadcast(blocks[number])
 
-    found = vectors.mapInArrow(run, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(block.ids), BINS), np.int64)  # QUERY_BLOCK * BINS counts at most
-    counts[found["q"].to_numpy(), found["bin"].to_numpy()] = found["n"].to_numpy()
-    return counts
+        def run(it):
+            b = held.value
+            counts = np.zeros((len(b.ids), BINS), np.int64)
+            for batch in it:
+                for rows, _, s, other in b.matched(batch):
+                    at = (s - b.low[rows][:, None]) // b.width[rows][:, None]
+                    fit = other & (at >= 0) & (at < BINS) & b.open[rows][:, None]
+                    counts += np.bincount((rows[:, None] * BINS + at)[fit], minlength=counts.size).reshape(counts.shape)
+            higher = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
+            q, bin_ = np.nonzero((counts > 0) & (higher < b.k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number)), pa.array(q), pa.array(bin_), pa.array(counts[q, bin_])], names=["block", "q", "bin", "n"])
+
+        return vectors.mapInArrow(run, "block long, q long, bin long, n long")
+
+    parts = reduce(DataFrame.unionByName, map(part, range(len(blocks))))
+    found = parts.groupBy("block", "q", "bin").agg(F.sum("n").alias("n")).toArrow()  # WAVE * QUERY_BLOCK * BINS counts at most
+    of, q, bin_, n = (found[c].to_numpy() for c in ("block", "q", "bin", "n"))
+    out = []
+    for number, block in enumerate(blocks):
+        mine = of == number
+        counts = np.zeros((len(block.ids), BINS), np.int64)
+        counts[q[mine], bin_[mine]] = n[mine]
+        out.append(counts)
+    return out
 
 
 def _refine(block: _Block, counts: np.ndarray) -> None:
@@ -137,23 +152,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best of ``vectors(vec_id, vector)`` for each of ``queries(vec_id, vector)``."""
     spark = vectors.sparkSession
     queries = queries.where("vec_id is not null").dropDuplicates(["vec_id"])
-    vectors = vectors.where("vec_id is not null")
+    vectors = saved(vectors.where("vec_id is not null"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     count = queries.count()
     longest = vectors.agg(F.max(norm)).first()[0] or 0.0
-    blocks = max(1, -(-count // (QUERY_BLOCK * 9 // 10)))
+    parts = max(1, -(-count // (QUERY_BLOCK * 9 // 10)))
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     out = None
-    for number in range(blocks if count else 0):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).orderBy("vec_id").toArrow()
-        if not len(rows):
-            continue
-        q = [np.array(v) for v in rows["vector"].to_pylist()]
-        block = _Block(rows["vec_id"].to_numpy(), q, k)
-        bound = np.ceil(np.array([np.linalg.norm(v) for v in q]) * longest) + 1
-        block.low = -bound.astype(np.int64)
-        block.width = -(-2 * bound.astype(np.int64) // BINS) + 1
-        while block.open.any():
-            _refine(block, _histograms(block, vectors))
-        part = _selected(block, vectors)
-        out = part if out is None else out.unionByName(part)
+    for first in range(0, parts if count else 0, WAVE):
+        rows = queries.where(place.between(first, first + WAVE - 1)).select(place.alias("place"), "vec_id", "vector").orderBy("place", "vec_id").toArrow()
+        of, blocks = rows["place"].to_numpy(), []
+        for number in np.unique(of):
+            mine = rows.filter(pa.array(of == number))
+            q = [np.array(v) for v in mine["vector"].to_pylist()]
+            block = _Block(mine["vec_id"].to_numpy(), q, k)
+            bound = np.ceil(np.array([np.linalg.norm(v) for v in q]) * longest) + 1
+            block.low = -bound.astype(np.int64)
+            block.width = -(-2 * bound.astype(np.int64) // BINS) + 1
+            blocks.append(block)
+        while waiting := [b for b in blocks if b.open.any()]:
+            for block, counts in zip(waiting, _histograms(waiting, vectors)):
+                _refine(block, counts)
+        for block in blocks:
+            part = _selected(block, vectors)
+            out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

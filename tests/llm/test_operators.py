@@ -212,7 +212,10 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v)
 
 
-def test_op4_equals_brute_force(spark, tables):
+@pytest.mark.parametrize("block", [2048, 2])
+def test_op4_equals_brute_force(spark, tables, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk_search, "WAVE", 2)
     rows = vectors()
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in queries.op4_topk_search(spark, tables(embeddings=(rows, VECTORS))).collect()]
     whole = {i: [math.floor(float(np.float32(x)) * 256) for x in v] for i, v, *_ in rows if usable(v)}
