@@ -34,12 +34,19 @@ def failure(code: str, message: str, hint: str | None = None) -> dict:
     return {"ok": False, "error": {"code": code, "message": message, "hint": hint or HINTS.get(code)}}
 
 
+#: What a listener hears, by call.
+EVENTS = {"remember": "ingested", "resolve": "edge_resolved", "undo": "edge_restored", "link": "edge_linked", "merge": "merged", "forget": "forgotten", "dream": "dreamt"}
+
+
 def _answer(call):
-    """Turns refusals and missing nodes into answers."""
+    """Turns refusals and missing nodes into answers, and tells the listener of writes."""
 
-    def run(*args, **kwargs):
+    def run(self, *args, **kwargs):
         try:
-            return {"ok": True, **call(*args, **kwargs)}
+            answer = {"ok": True, **call(self, *args, **kwargs)}
+            if call.__name__ in EVENTS:
+                self.listener(EVENTS[call.__name__], answer)
+            return answer
         except Refused as why:
             return failure("invalid_params", str(why))
         except LookupError as why:
@@ -73,8 +80,9 @@ def node_id_in(value) -> str:
 
 
 class Graph:
-    def __init__(self, spark: SparkSession, state: State | None = None, store: Store | None = None, embedder: Embedder | None = None, reranker=None, clock=None):
+    def __init__(self, spark: SparkSession, state: State | None = None, store: Store | None = None, embedder: Embedder | None = None, reranker=None, clock=None, listener=None):
         self.spark, self.store, self.embedder, self.reranker = spark, store, embedder, reranker
+        self.listener = listener or (lambda event, answer: None)  # hears of every write, as (event, answer)
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         self.state = state if state is not None else (store or Store(spark, "")).read()
 

@@ -170,7 +170,8 @@ def test_lifecycle_leaves_summaries(spark):
 
 def test_graph_object(spark, tmp_path):
     store = state.Store(spark, f"{tmp_path}/store")
-    g = Graph(spark, state=state.demo(spark), store=store, clock=lambda: NOW)
+    heard: list = []
+    g = Graph(spark, state=state.demo(spark), store=store, clock=lambda: NOW, listener=lambda event, answer: heard.append(event))
     assert g.status()["total"] == 13 and g.status()["edges"] == 19 and g.status()["pending_edges"] == 2 and g.status()["orphans"] == 1
     for call, kind in ((lambda: g.search(" "), "invalid_params"), (lambda: g.search("x" * 501), "invalid_params"), (lambda: g.search("x", 21), "invalid_params"), (lambda: g.get_node("none"), "node_not_found"),
                        (lambda: g.get_node("a/b"), "invalid_params"), (lambda: g.neighbors("bread", hops=3), "invalid_params"), (lambda: g.forget("bread", ""), "invalid_params"), (lambda: g.remember("")  , "invalid_params"), (lambda: g.get_node("bread", 99), "invalid_params")):
@@ -192,6 +193,7 @@ def test_graph_object(spark, tmp_path):
     assert g.forget("island", "off topic")["edges_invalidated"] == 1 and g.forget("island", "again")["already_forgotten"]
     assert g.merge("bread", "bread2")["ok"] and g.get_node("bread2")["node"]["status"] == "tombstone"
     assert store.read(1).nodes.count() == 13 and [h["version"] for h in store.history()] == list(range(1, len(store.history()) + 1))
+    assert heard[0] == "ingested" and {"edge_linked", "edge_resolved", "edge_restored", "forgotten", "merged", "dreamt"} <= set(heard)
     assert Graph(spark, store=store).get_node(new["node_id"])["ok"]
 
 
@@ -243,6 +245,33 @@ def test_marker_gate(spark):
     assert {r.n for r in gate.passed(rows).collect()} == {3, 5, 6, 7}
 
 
+def test_stream_of_arrivals(spark, tmp_path):
+    from knotwork.streaming import arrivals
+
+    (tmp_path / "in").mkdir()
+    store = state.Store(spark, f"{tmp_path}/store")
+    clock = lambda: (5, "2024-07-01T00:00:00Z")
+    lines = [{"ts": "1", "text": "the kettle boils fast"}, {"ts": "2", "text": "The  kettle boils fast", "source": "b"}, {"ts": "3", "text": "  "}]
+    (tmp_path / "in/1.json").write_text("\n".join(map(json.dumps, lines)))
+    assert arrivals.start(arrivals.read(spark, f"{tmp_path}/in"), store, f"{tmp_path}/ck", clock).awaitTermination(120)
+    assert [(r.text, r.sources) for r in store.read().nodes.collect()] == [("the kettle boils fast", ["stream", "b"])]
+    arrivals.take_in(store, clock)(spark.createDataFrame([("9", "again", "s")], arrivals.ARRIVAL), 0)  # that batch is known
+    assert len(store.history()) == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from knotwork.__main__ import main
+
+    def call(*words):
+        code = main(["--store", f"{tmp_path}/s", *words])
+        return code, capsys.readouterr().out
+
+    assert call("status")[0] == 1 and call("demo")[0] == 0
+    assert json.loads(call("search", "sourdough", "-k", "2")[1])["count"] == 2
+    assert "## Hubs" in call("report")[1] and "modularity" in call("communities")[1] and "Comets" in call("list")[1]
+    assert call("forget", "island", "off topic")[0] == 0 and len(json.loads(call("history")[1])["versions"]) == 2
+
+
 CASES = [
     evals.Case("duplicate", ["The river floods in spring", "the RIVER floods in spring"], nodes=1),
     evals.Case("similar", ["A cat sleeps on the warm red sofa", "A cat sleeps on the warm blue sofa"], options={"auto_accept": True}, edges=[("A cat sleeps on the warm blue sofa", "A cat sleeps on the warm red sofa", "similar")], origins_least={"suggester": 1}),
