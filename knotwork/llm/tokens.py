@@ -109,3 +109,14 @@ class Encoder:
                 out.append(self._encode((" " if at else "") + " ".join(pieces[at:end])))
             at = end
         return out
+
+
+_KEPT: dict[str, Encoder] = {}
+
+
+def kept(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer, whose bounded caches last from task to task; one tokenizer at a time."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of, saved
-from .tokens import Encoder
+from .tokens import kept
 
 MAGIC = b"KWM2"
 #: Ids a shard's file holds before the next begins (a longer document has a file of its own).
@@ -183,7 +183,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLO
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(it):
-        encoder, shard, block = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, block = kept(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, parts, held = [], [], 0
         end = np.array([end_id], "<u4")
 
