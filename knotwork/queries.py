@@ -380,9 +380,20 @@ _OPERATED = (
     structural_gaps, community_report, god_nodes, accept_pending, lifecycle, decay_levels, refresh_kinds, recall_fold, forget, undo_edge, merge_edges, merge_report, backfill_origin, migrate_kinds, index_md,
     summary_ids, dream_plan, distill, consolidate, ingest_batch, marker_scan,
 )
+def _hits_sql() -> str:
+    """The five best of the fused ranking, with the nodes' texts on one line, cut and then escaped."""
+    top = duckdb_query(PLANS["hybrid_search"].replace("rank <= 10", "rank <= 5"))
+    flat = "trim(regexp_replace(n.text, '\\s+', ' ', 'g'))"
+    shown = f"case when length({flat}) > 200 then substr({flat}, 1, 200) || '…' else {flat} end"
+    for sign in "|<>&":
+        shown = f"replace({shown}, '{sign}', chr(92) || '{sign}')"
+    return f"select qid, rank, h.id, round(rrf, 4) as score, coalesce({shown}, '') as snippet, status, ntype from ({top}) h join {tables.SQL['nodes']} n on n.id = h.id"
+
+
 QUERIES |= {f.__name__: f for f in _OPERATED}
 ORACLES |= {
     "intent_detect": INTENT_SQL,
+    "search_hits": _hits_sql(),
     "merge_report": "with " + duckdb_query(PLANS["merge_edges"]).removeprefix("with ").split("\nselect id, s as source")[0] + f"""
 select (select cast(sum((source = '{OTHER}')::int + (target = '{OTHER}')::int) as bigint) from marked where not stays) as edges_redirected,
  (select cast(count(*) as bigint) from marked) - (select cast(count(*) as bigint) from ranked where rk = 1) - (select cast(count(*) as bigint) from marked where stays and to_s is null) as edges_removed,

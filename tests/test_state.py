@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork import evals, report
 from knotwork.api import Graph
-from knotwork.functions import embedding, gate
+from knotwork.functions import embedding, gate, intent
 from knotwork.functions import text as T
 from knotwork.operators import communities, graph, hygiene, ingest, search, transitions
 from knotwork.sources import files, state
@@ -77,6 +77,53 @@ def ingested(spark, old, texts, **options):
     return ingest.ingest(n, edges(spark), embedding.vectors_of(n), arrivals, 5, "2024-07-01", **options)
 
 
+def plain_ingest(old, texts, cap=3, floor=0.0, auto=False):
+    """One text after another, against everything that is there by then; texts as they stood at the start."""
+    e = embedding.HashEmbedder()
+    embed = lambda t: e.embed([embedding.normal_text(t)])[0]
+    known = {f"n{i:02}": (t, embed(t)) for i, t in enumerate(old)}
+    notes = {i: [] for i in known}
+    outcome, edges = {}, []
+    for at, text in enumerate(texts):
+        me, vec = f"x{at}", embed(text)
+        scores = {i: round(float(vec @ v), 9) for i, (_, v) in known.items()}
+        best = min(scores, key=lambda i: (-scores[i], i), default=None)
+        if best is not None and scores[best] >= 0.92:
+            outcome[me] = (best, True)
+            continue
+        outcome[me] = (me, False)
+        left, mine = cap, []
+        for other in sorted(i for i, s in scores.items() if s >= 0.45):
+            if kind := intent.kind_of(text, known[other][0]):
+                mine.append((me, other, kind, left <= 0, None, "intent"))
+                left -= 1
+        claimed = {other for _, other, *_ in mine}
+        for other in sorted(scores, key=lambda i: (-scores[i], i))[:3]:
+            if scores[other] >= max(0.45, floor) and other not in claimed:
+                kind = "similar" if scores[other] >= 0.75 else "extends"
+                mine.append((me, other, kind, scores[other] < 0.95 and not auto, scores[other], "suggester"))
+                if kind == "similar" and not mine[-1][3]:
+                    notes[other].append(f"[evolved 2024-07-01: connected to {me} “{embedding.normal_text(text)[:40]}…”]")
+        edges += mine
+        known[me], notes[me] = (text, vec), []
+    return outcome, edges, {i: "\n\n".join([t, *notes[i][:5]]) for i, (t, _) in known.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"cap": 1, "floor": 0.7}, {"auto_accept": True}])
+def test_ingest_equals_one_by_one(spark, options):
+    rng = np.random.default_rng(len(str(options)))
+    words = ["scanner", "parser", "files", "reads", "replaces", "never", "false", "builds on", "extends", "is not", "cache", "the", "old", "new", "table", "rows", "instead of", "."]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 9))) for _ in range(70)]
+    texts[50], texts[60], texts[61] = texts[3].upper(), texts[45], texts[45] + " "
+    old, new = texts[:30], texts[30:]
+    done = ingested(spark, old, new, **options)
+    outcome, edges, notes = plain_ingest(old, new, options.get("cap", 3), options.get("floor", 0.0), options.get("auto_accept", False))
+    assert {r.id: (r.node_id, r.duplicate) for r in done.outcome.collect()} == outcome and sum(d for _, d in outcome.values()) >= 3
+    got = {(r.source, r.target, r.kind, r.pending, None if r.confidence is None else round(r.confidence, 6), r.origin) for r in done.new_edges.collect()}
+    assert got == {(*e[:4], None if e[4] is None else round(e[4], 6), e[5]) for e in edges} and len(edges) > 40
+    assert {r.id: r.text for r in done.nodes.collect()} == {i: t.strip() for i, t in notes.items()}
+
+
 def test_ingest_duplicates_in_order(spark):
     done = ingested(spark, ["the cat sat on the mat", "a wholly different sentence"], ["The cat  sat on the mat", "new idea about boats", "NEW idea about boats", "birds fly south in winter"])
     assert {r.id: (r.node_id, r.duplicate) for r in done.outcome.collect()} == {"x0": ("n00", True), "x1": ("x1", False), "x2": ("x1", True), "x3": ("x3", False)}
