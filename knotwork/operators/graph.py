@@ -18,35 +18,48 @@ from knotwork.sources.cut import cut
 BOUND = 2_000_000
 
 
-def _adjacency(nodes: DataFrame, edges: DataFrame) -> dict[str, list[str]]:
+def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
+    """Neighbours of every node that has any, in id order; at most ``BOUND`` edges come to the driver."""
     pairs = edges.select("a", "b").where("a <> b").limit(BOUND + 1).toArrow()
     if len(pairs) > BOUND:
         raise ValueError(f"the exact kernel takes {BOUND} edges at most; use synchronous_labels")
-    around: dict[str, set[str]] = {r: set() for r in nodes.select("id").toArrow()["id"].to_pylist()}
+    around: dict[str, set[str]] = {}
     for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
         around.setdefault(a, set()).add(b)
         around.setdefault(b, set()).add(a)
     return {n: sorted(around[n]) for n in sorted(around)}
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """(id, place): the places of ids in their order, from 0; parts are counted apart, so no task orders them all."""
+    parts = cut(rows.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row a part
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    return parts.withColumn("at", inside).join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("at")).alias("place"))
+
+
 def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, community) by asynchronous label propagation in id order; 0 is the largest community, then by
-    smallest member. The most frequent neighbour label wins, the smallest of equals."""
-    around = _adjacency(nodes, edges)
+    smallest member. The most frequent neighbour label wins, the smallest of equals. Only nodes with an edge come to
+    the driver; the others are communities of their own."""
+    around = _adjacency(edges)
     label = {n: i for i, n in enumerate(around)}
     for _ in range(rounds):
         before = dict(label)
         for n, near in around.items():
-            if near:
-                label[n] = min(Counter(label[x] for x in near).items(), key=lambda c: (-c[1], c[0]))[0]
+            label[n] = min(Counter(label[x] for x in near).items(), key=lambda c: (-c[1], c[0]))[0]
         if label == before:
             break
     groups: dict[int, list[str]] = {}
     for n, x in label.items():
         groups.setdefault(x, []).append(n)
-    order = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
-    rows = [(n, i) for i, g in enumerate(order) for n in g]
-    return nodes.sparkSession.createDataFrame(rows, "id string, community int")
+    order = sorted((g for g in groups.values() if len(g) > 1), key=lambda g: (-len(g), g[0]))
+    spark = nodes.sparkSession
+    held = pa.table({"id": pa.array([n for g in order for n in g], pa.string()), "community": pa.array([i for i, g in enumerate(order) for _ in g], pa.int32())})
+    many = spark.createDataFrame(held)
+    alone = _places(nodes.join(many, "id", "left_anti")).select("id", (F.col("place") + len(order)).cast("int").alias("community"))
+    return many.join(nodes.select("id"), "id", "left_semi").unionByName(alone)
 
 
 def synchronous_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -74,11 +87,13 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 
 def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None) -> DataFrame:
     """(id, betweenness) in [0, 1]; with ``sample``, from every ceil(n / sample)-th id, scaled up. Sources run apart."""
-    around = _adjacency(nodes, edges)
-    ids = list(around)
-    step = -(-len(ids) // sample) if sample and sample < len(ids) else 1
-    sources = ids[::step]
-    spark = nodes.sparkSession
+    around = _adjacency(edges)
+    spark, size = nodes.sparkSession, nodes.count()
+    step = -(-size // sample) if sample and sample < size else 1
+    # Pivots are every step-th of all ids; those without an edge lie on no path.
+    places = _places(nodes).where(F.col("place") % step == 0)
+    sources = [r.id for r in places.join(spark.createDataFrame(pa.table({"id": pa.array(list(around), pa.string())})), "id", "left_semi").orderBy("id").collect()] if around else []
+    pivots = -(-size // step) if size else 0
     held = spark.sparkContext.broadcast(around)  # bounded by BOUND edges
 
     def run(batches):
@@ -106,9 +121,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None) -
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "part"])
 
     parts = spark.createDataFrame([(s,) for s in sources], "id string").repartition(8).mapInArrow(run, "id string, part double") if sources else spark.createDataFrame([], "id string, part double")
-    norm = max((len(ids) - 1) * (len(ids) - 2), 1)
+    norm = max((size - 1) * (size - 2), 1)
     summed = parts.groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * (len(ids) / max(1, len(sources)) / norm)).alias("betweenness"))
+    return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * (size / max(1, pivots) / norm)).alias("betweenness"))
 
 
 def shortest_paths(edges: DataFrame, start: str, depth: int = 4, goal: str | None = None) -> DataFrame:

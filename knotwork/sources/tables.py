@@ -38,11 +38,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row n: the number of documents, counted where the plan runs."""
+    return F.broadcast(read(spark, sf_dir, "documents").agg(F.count("*").alias("n")))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.lit(read(spark, sf_dir, "documents").count())
+    n = F.col("n")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
     start = F.unix_timestamp("o_orderdate")
-    return read(spark, sf_dir, "orders").select(
+    return read(spark, sf_dir, "orders").crossJoin(_size(spark, sf_dir)).select(
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("e"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("id"),
         node_id((F.col("o_orderkey") * 7 + 3) % n).alias("source"),
@@ -57,8 +62,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.lit(read(spark, sf_dir, "documents").count())
-    return read(spark, sf_dir, "events").select(F.unix_timestamp("ts").alias("ts_s"), F.substring(F.sha1("props"), 1, 10).alias("q"), node_id(F.col("user_id") % n).alias("id"))
+    rows = read(spark, sf_dir, "events").crossJoin(_size(spark, sf_dir))
+    return rows.select(F.unix_timestamp("ts").alias("ts_s"), F.substring(F.sha1("props"), 1, 10).alias("q"), node_id(F.col("user_id") % F.col("n")).alias("id"))
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
