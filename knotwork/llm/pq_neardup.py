@@ -5,6 +5,7 @@ list of its nearest coarse centroid and keeps a code of its residual: the neares
 entry of a small codebook in each subspace. A query scans every list that can hold a
 vector within the link distance: y is nearer to its own centroid than to any other, so
 x can only be within r of it if x is within r of the plane between the two centroids.
+That holds for both, so x probes the lists from its own on, and a link counts for either.
 In a list, distances to the codes come from one table a query and subspace, and y is
 kept when that distance exceeds r by no more than y's own quantisation error. Both
 tests lose nothing (they are triangle inequalities); the exact cosine then decides.
@@ -41,7 +42,7 @@ class Index:
     cuts: np.ndarray
 
     def place(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Cell, code and quantisation error of unit vectors, and the cells each must probe."""
+        """Cell, code and quantisation error of unit vectors, and the cells from its own on that each must probe."""
         c = self.centroids
         d2 = np.maximum(((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :]) - 2 * products(x, c), 0)
         cell = d2.argmin(axis=1)
@@ -52,6 +53,7 @@ class Index:
         margin = (d2 - d2[np.arange(len(x)), cell][:, None]) / (2 * apart)
         near = margin <= radius + 1e-9
         near[np.arange(len(x)), cell] = True
+        near &= np.arange(len(c))[None, :] >= cell[:, None]  # of two cells the lower one's vectors probe the other
         return cell, codes, error, [np.flatnonzero(row) for row in near]
 
     def parts(self):
@@ -118,7 +120,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
 
     placed = saved(classes.mapInPandas(place, "cid long, label int, size int, vec array<double>, mult long, cell int, code binary, error double, probes array<int>"))
     key = ["label", "size", "cell"]
-    probing = placed.select("cid", "label", "size", "vec", F.explode("probes").alias("cell"))
+    probing = placed.select("cid", "label", "size", "vec", "mult", F.col("cell").alias("own"), F.explode("probes").alias("cell"))
     n_list = placed.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("list_blocks"))
     n_probe = probing.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))
     blocks = n_list.join(n_probe, key)
@@ -126,7 +128,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fresh = placed.select(*(F.col(c).alias(c) for c in placed.columns))  # its own column ids, for the cogroup
     lists = fresh.join(blocks, key).select(*key, "cid", "vec", "mult", "code", "error", own("list_blocks").alias("lb"), every("query_blocks").alias("qb"))
-    queries = probing.join(blocks, key).select(*(F.col(c).alias(c) for c in key), "cid", "vec", own("query_blocks").alias("qb"), every("list_blocks").alias("lb"))
+    queries = probing.join(blocks, key).select(*(F.col(c).alias(c) for c in key), "cid", "vec", "mult", "own", own("query_blocks").alias("qb"), every("list_blocks").alias("lb"))
 
     def match(q: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(y):
@@ -142,6 +144,8 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
         good = (exact / (qn[i] * yn[j]) >= threshold) & (qid[i] != yid[j])
         i, j = i[good], j[good]
         n = np.bincount(i, y["mult"].to_numpy()[j], minlength=len(q)).astype(np.int64)
+        away = (q["own"].to_numpy() != cell)[i]  # y does not probe that query's list
+        m = np.bincount(j[away], q["mult"].to_numpy()[i[away]], minlength=len(y)).astype(np.int64)
         ql, yl = qid.copy(), yid.copy()
         while True:
             before = ql.sum() + yl.sum()
@@ -149,8 +153,8 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
             np.minimum.at(yl, j, ql[i])
             if ql.sum() + yl.sum() == before:
                 break
-        hit, below = n > 0, yl < yid
-        return pd.DataFrame({"cid": np.concatenate([qid[hit], yid[below]]), "n": np.concatenate([n[hit], np.zeros(int(below.sum()), np.int64)]), "root": np.concatenate([ql[hit], yl[below]])})
+        hit, found = n > 0, (yl < yid) | (m > 0)
+        return pd.DataFrame({"cid": np.concatenate([qid[hit], yid[found]]), "n": np.concatenate([n[hit], m[found]]), "root": np.concatenate([ql[hit], yl[found]])})
 
     group = [*key, "lb", "qb"]
     return saved(queries.groupBy(group).cogroup(lists.groupBy(group)).applyInPandas(match, "cid long, n long, root long"))
