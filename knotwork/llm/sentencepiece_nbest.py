@@ -9,7 +9,9 @@ words that lose least by their second path can differ from their best one.
 
 Defined results: a null text counts as empty and has the segmentation of the empty
 text, no piece; U+2581 in a text is written in byte pieces, so decoding gives every
-text back; equal scores are ordered by the ids; repeated rows are encoded each for itself.
+text back; repeated rows are encoded each for itself. A word's paths of equal score are in order of their ids;
+of words that lose equally little by their second path the first in the text vary, and equal sums over words
+are in order of the words' alternatives, those of earlier words first.
 """
 
 from __future__ import annotations
