@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dual_tree, html_text, jaccard_join, language_id, packing, pq_neardup, quality_classifier, sentencepiece_nbest, suffix_dedup, tokens, topk_search, wavelet
+from . import chat, dual_tree, html_text, jaccard_join, language_id, packing, pq_neardup, prefix_trie, quality_classifier, sentencepiece_nbest, suffix_dedup, tokens, topk_search, wavelet
 from .common import table, tuned
 
 
@@ -85,6 +85,11 @@ def op11_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark, rows=4096)
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark, rows=128)
     return html_text.main_text(table(spark, sf_dir, "pages"))
