@@ -124,9 +124,8 @@ def _split(turns: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _nodes(turns: DataFrame) -> DataFrame:
     """Contents of the groups: one row each, and more for a group whose contents differ."""
-    made = turns.groupBy("depth", "fp", "path", "role", "text").agg(
-        F.min("conv_id").alias("conv_id"), F.count("*").alias("n"), F.first("parent_fp").alias("parent_fp"), F.first("parent_path").alias("parent_path")
-    )
+    keys = ["depth", "fp", "path", "parent_fp", "parent_path", "role", "text"]  # the parents' follow from the others
+    made = turns.groupBy(*keys).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n"))
     return saved(made.select("depth", "fp", "path", "conv_id", "n", "parent_fp", "parent_path", F.expr(WORDS).cast("long").alias("words")))
 
 
