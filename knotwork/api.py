@@ -92,7 +92,7 @@ class Graph:
         return self.spark.createDataFrame([(0, query)], "qid int, text string")
 
     def _hits(self, query: str, k: int) -> tuple[DataFrame, list[dict]]:
-        found = search.retrieve(self.state.nodes, self._query(query), k, embedder=self.embedder, reranker=self.reranker)
+        found = search.retrieve(self.state.nodes, self._query(query), k, embedder=self.embedder, reranker=self.reranker, vectors=self.state.vectors)
         rows = found.join(self.state.nodes, "id").select("rank", "id", "rrf", T.cell(F.col("text"), SNIPPET).alias("snippet"), "status", "ntype", "tags", "created_s", "recall_count").orderBy("rank").collect()  # k rows
         return found, [{"id": r.id, "score": round(r.rrf, 4), "snippet": r.snippet, "status": r.status, "type": r.ntype, "tags": r.tags or [], "created_s": r.created_s, "recall_count": r.recall_count or 0} for r in rows]
 

@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CACHED = 200_000  # words a worker remembers
@@ -27,6 +27,10 @@ class HashEmbedder:
     def __init__(self, dims: int = 64):
         self.dims, self.cache = dims, {}
 
+    @property
+    def name(self) -> str:
+        return f"hash-{self.dims}"
+
     def __getstate__(self):
         return {"dims": self.dims, "cache": {}}
 
@@ -55,17 +59,55 @@ def normal_text(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def vectors_of(nodes: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """(id, vec) of ``nodes(id, text)``: embeddings of the texts in their normal form, no shuffle."""
+def vectors_of(nodes: DataFrame, embedder: Embedder | None = None, with_text: bool = False) -> DataFrame:
+    """(id, vec) of ``nodes(id, text)``, or (id, text, vec): embeddings of the texts in their normal form, no shuffle."""
     embedder = embedder or HashEmbedder()
+    kept = ["id", "text"] if with_text else ["id"]
 
     def run(it):
         for batch in it:
             found = np.ascontiguousarray(embedder.embed([normal_text(t) for t in batch.column("text").to_pylist()]), np.float64)
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1] if len(found) else np.zeros(1, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=[*kept, "vec"])
+
+    return nodes.select("id", "text").mapInArrow(run, f"{', '.join(f'{c} string' for c in kept)}, vec array<double>")
+
+
+def text_key(text: Column | str) -> Column:
+    """A digest of what an embedder sees of a text, except for its case: stored vectors are of a node's text while it holds."""
+    return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " ")), 256)
 
-    return nodes.select("id", "text").mapInArrow(run, "id string, vec array<double>")
+
+def model_of(embedder: Embedder) -> str:
+    """The name under which an embedder's vectors are stored: its ``name``, else that of its class."""
+    return getattr(embedder, "name", type(embedder).__qualname__)
+
+
+def stored(nodes: DataFrame, table: DataFrame | None = None, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, model, vec) for all ``nodes(id, text)``, and those of them that ``table`` has not: texts that are
+    new or have changed, which alone are embedded. A table of other embedders' rows as well may be handed in."""
+    embedder = embedder or HashEmbedder()
+    model = model_of(embedder)
+    wanted = nodes.select("id", "text", text_key("text").alias("key"))
+    named = lambda rows: rows.select("id", text_key("text").alias("key"), F.lit(model).alias("model"), "vec")
+    if table is None:
+        every = named(vectors_of(wanted, embedder, with_text=True))
+        return every, every
+    rows = table.where((F.col("model") == model) & F.col("vec").isNotNull()).select("id", "key", "model", "vec")
+    known = rows.join(wanted.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    fresh = named(vectors_of(wanted.join(known.select("id", "key"), ["id", "key"], "left_anti"), embedder, with_text=True))
+    return known.select("id", "key", "model", "vec").unionByName(fresh), fresh
+
+
+def with_vectors(nodes: DataFrame, vectors: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """``nodes(id, text)`` with vec, null where ``vectors`` has none: rows (id, vec) stand for the node's text as it is,
+    rows (id, key, model, vec) for a text of that key only."""
+    if "key" not in vectors.columns:
+        rows = vectors.where("vec is not null").groupBy("id").agg(F.first("vec").alias("vec"))
+        return nodes.select("id", "text").join(rows, "id", "left")
+    rows = vectors if embedder is None else vectors.where(F.col("model") == model_of(embedder))
+    rows = rows.where("vec is not null").groupBy("id", "key").agg(F.first("vec").alias("vec"))
+    return nodes.select("id", "text", text_key("text").alias("key")).join(rows, ["id", "key"], "left").select("id", "text", "vec")
 
 
 def vectors_for(nodes: DataFrame, cached: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:

@@ -21,10 +21,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotwork.functions.embedding import Embedder, HashEmbedder, normal_text
+from knotwork.functions.embedding import Embedder, HashEmbedder, normal_text, vectors_of, with_vectors
+from knotwork.sources.cut import cut
 
 BLOCK = 1024
 #: Fixed values of BM25 and of reciprocal rank fusion.
@@ -64,15 +66,38 @@ class _Queries:
                 row[:] = (n * (K1 + 1) / (n + K1 * (1 - B + B * size / self.mean))) @ self.weights[places]
         return np.round(out, 9)
 
-    def dense(self, texts: list[str | None]) -> np.ndarray:
-        found = self.embedder.embed([normal_text(t) for t in texts])
+    def dense(self, texts: list[str | None], stored: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """``stored``: the texts' vectors and which of them are there; the others are embedded."""
+        if stored is None:
+            found = self.embedder.embed([normal_text(t) for t in texts])
+        else:
+            found, there = stored
+            if not there.all():
+                found = found.copy()
+                fresh = self.embedder.embed([normal_text(t) for t, known in zip(texts, there) if not known])
+                found[~there] = fresh if fresh.shape[1] == found.shape[1] else 0.0
         if found.shape[1] != self.vectors.shape[1]:  # another embedder's vectors are not comparable
             return np.zeros((len(texts), len(self.qids)))
         return np.round(found @ self.vectors.T, 9)
 
 
-def _live(nodes: DataFrame) -> DataFrame:
-    return (nodes.where("status <> 'tombstone'") if "status" in nodes.columns else nodes).select("id", "text")
+def _live(nodes: DataFrame, vectors: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """(id, text) of nodes that aren't tombstones, and vec where stored ``vectors`` are given."""
+    rows = (nodes.where("status <> 'tombstone'") if "status" in nodes.columns else nodes).select("id", "text")
+    return rows if vectors is None else with_vectors(rows, vectors, embedder)
+
+
+def _stored(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """A batch's stored vectors and which rows have one of that many components."""
+    if "vec" not in batch.schema.names:
+        return None
+    column = batch.column("vec")
+    there = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+    flat = column.filter(there).flatten().to_numpy(zero_copy_only=False)
+    mask = there.to_numpy(zero_copy_only=False).astype(bool)
+    matrix = np.zeros((len(mask), dims))
+    matrix[mask] = flat.reshape(-1, dims)
+    return matrix, mask
 
 
 def _statistics(live: DataFrame, block: _Queries) -> None:
@@ -133,10 +158,11 @@ def _best(live: DataFrame, block: _Queries, lists: tuple[str, ...], m: int) -> D
         b = held.value
         kept: dict[int, tuple[np.ndarray, ...]] = {}
 
-        def cut(texts, ids):
+        def cut(texts, ids, stored):
             order = np.argsort(ids, kind="stable")
             texts, ids = [texts[i] for i in order], ids[order]
-            scores = {n: b.bm25(texts) if n == "bm25" else b.dense(texts) for n in lists}
+            known = tuple(np.concatenate(x)[order] for x in zip(*stored)) if stored else None
+            scores = {n: b.bm25(texts) if n == "bm25" else b.dense(texts, known) for n in lists}
             overlap = reduce(np.logical_or, [s > 0 for s in scores.values()])
             for number, name in enumerate(lists):
                 for q, rows in _first(ids, scores[name], (scores[name] > 0) if name == "bm25" else overlap, m):
@@ -145,15 +171,17 @@ def _best(live: DataFrame, block: _Queries, lists: tuple[str, ...], m: int) -> D
                     best = np.lexsort((both[0], -both[1]))[:m]
                     kept[number, q] = both[0][best], both[1][best]
 
-        texts, ids = [], []
+        texts, ids, stored = [], [], []
         for batch in it:
             texts.extend(batch.column("text").to_pylist())
             ids.extend(batch.column("id").to_pylist())
+            if (found := _stored(batch, b.vectors.shape[1])) is not None:
+                stored.append(found)
             if len(ids) >= _HELD:
-                cut(texts, np.array(ids, dtype=object))
-                texts, ids = [], []
+                cut(texts, np.array(ids, dtype=object), stored)
+                texts, ids, stored = [], [], []
         if ids:
-            cut(texts, np.array(ids, dtype=object))
+            cut(texts, np.array(ids, dtype=object), stored)
         for (number, q), (found, score) in kept.items():
             n = len(found)
             yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(found, pa.string()), pa.array(score)], names=["q", "list", "id", "score"])
@@ -166,8 +194,9 @@ def _names(spark: SparkSession, block: _Queries, queries: DataFrame) -> DataFram
     return F.broadcast(spark.createDataFrame(list(enumerate(block.qids)), f"q int, qid {queries.schema['qid'].dataType.simpleString()}"))  # a block
 
 
-def _single(nodes: DataFrame, queries: DataFrame, k: int, name: str, embedder: Embedder | None) -> DataFrame:
-    spark, live, embedder = nodes.sparkSession, _live(nodes), embedder or HashEmbedder()
+def _single(nodes: DataFrame, queries: DataFrame, k: int, name: str, embedder: Embedder | None, vectors: DataFrame | None = None) -> DataFrame:
+    spark, embedder = nodes.sparkSession, embedder or HashEmbedder()
+    live = _live(nodes, vectors, embedder)
     parts = []
     for block in _blocks(live, queries, embedder, name == "bm25") if k > 0 else []:
         best = _best(live, block, (name,), k).join(_names(spark, block, queries), "q")
@@ -184,16 +213,19 @@ def bm25(nodes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return _single(nodes, queries, k, "bm25", None)
 
 
-def dense(nodes: DataFrame, queries: DataFrame, k: int = 10, embedder: Embedder | None = None) -> DataFrame:
-    """(qid, rank, id, score): the k nodes of the highest cosine above 0."""
-    return _single(nodes, queries, k, "dense", embedder)
+def dense(nodes: DataFrame, queries: DataFrame, k: int = 10, embedder: Embedder | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, id, score): the k nodes of the highest cosine above 0; ``vectors`` are the nodes' stored ones."""
+    return _single(nodes, queries, k, "dense", embedder, vectors)
 
 
-def hybrid(nodes: DataFrame, queries: DataFrame, k: int = 10, embedder: Embedder | None = None) -> DataFrame:
+def hybrid(nodes: DataFrame, queries: DataFrame, k: int = 10, embedder: Embedder | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(qid, rank, id, rrf): the k nodes of the highest sum of 1 / (60 + rank) over both rankings. A node stands in
-    the dense ranking if its cosine or its BM25 is above 0, in the other if its BM25 is."""
-    spark, live, embedder, m = nodes.sparkSession, _live(nodes), embedder or HashEmbedder(), RRF + 2 * max(k, 0)
-    parts = []
+    the dense ranking if its cosine or its BM25 is above 0, in the other if its BM25 is. All passes read the stored
+    ``vectors``; without any, each text is embedded once, into a table that they read."""
+    spark, embedder, m = nodes.sparkSession, embedder or HashEmbedder(), RRF + 2 * max(k, 0)
+    live, parts = _live(nodes, vectors, embedder), []
+    if k > 0:
+        live = cut(live if vectors is not None else vectors_of(live, embedder, with_text=True))
     for block in _blocks(live, queries, embedder, True) if k > 0 else []:
         candidates = _best(live, block, ("bm25", "dense"), m).select("q", "id").distinct()
         fused = _ranked(live, block, candidates.toArrow().to_pydict())  # at most 2 m rows a query of the block
@@ -213,11 +245,12 @@ def _ranked(live: DataFrame, block: _Queries, candidates: dict[str, list]) -> Da
     def score(it):
         b, wanted = held.value
         for batch in it:
-            rows = [(i, t) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if i in wanted]
-            if rows:
-                texts = [t for _, t in rows]
-                x, y = b.bm25(texts), b.dense(texts)
-                q, i, r = zip(*((q, i, r) for r, (i, _) in enumerate(rows) for q in wanted[i]))
+            at = [n for n, i in enumerate(batch.column("id").to_pylist()) if i in wanted]
+            if at:
+                batch = batch.take(pa.array(at))
+                texts, rows = batch.column("text").to_pylist(), [(i,) for i in batch.column("id").to_pylist()]
+                x, y = b.bm25(texts), b.dense(texts, _stored(batch, b.vectors.shape[1]))
+                q, i, r = zip(*((q, i, r) for r, (i,) in enumerate(rows) for q in wanted[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(i, pa.string()), pa.array(x[list(r), list(q)]), pa.array(y[list(r), list(q)])], names=["q", "id", "bm25", "dense"])
 
     found = live.mapInArrow(score, "q int, id string, bm25 double, dense double").groupBy("q", "id").agg(F.max("bm25").alias("bm25"), F.max("dense").alias("dense")).orderBy("q", "id").toArrow().to_pydict()
@@ -231,7 +264,7 @@ def _ranked(live: DataFrame, block: _Queries, candidates: dict[str, list]) -> Da
         better = {q: np.zeros((2, len(rows)), np.int64) for q, rows in marks.items()}
         for batch in it:
             ids, texts = np.array(batch.column("id").to_pylist(), dtype=object), batch.column("text").to_pylist()
-            x, y = b.bm25(texts), b.dense(texts)
+            x, y = b.bm25(texts), b.dense(texts, _stored(batch, b.vectors.shape[1]))
             for q, rows in marks.items():
                 overlap = (x[:, q] > 0) | (y[:, q] > 0)
                 for number, scores in enumerate((np.where(x[:, q] > 0, x[:, q], -np.inf), np.where(overlap, y[:, q], -np.inf))):
@@ -271,13 +304,13 @@ def rerank(candidates: DataFrame, nodes: DataFrame, queries: DataFrame, reranker
     return rows.groupBy("qid").applyInPandas(run, schema)
 
 
-def retrieve(nodes: DataFrame, queries: DataFrame, k: int = 5, rerank_k: int = 30, embedder: Embedder | None = None, reranker: Reranker | None = None) -> DataFrame:
+def retrieve(nodes: DataFrame, queries: DataFrame, k: int = 5, rerank_k: int = 30, embedder: Embedder | None = None, reranker: Reranker | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(qid, rank, id, rrf): the first k of ``rerank_k`` hybrid candidates, after ``reranker`` where one is given."""
     if k <= 0:
         return hybrid(nodes, queries, 0, embedder)
     if reranker is None:
-        return hybrid(nodes, queries, min(k, rerank_k), embedder)
-    return rerank(hybrid(nodes, queries, rerank_k, embedder), nodes, queries, reranker, k)
+        return hybrid(nodes, queries, min(k, rerank_k), embedder, vectors)
+    return rerank(hybrid(nodes, queries, rerank_k, embedder, vectors), nodes, queries, reranker, k)
 
 
 def reverse_order(query: str, texts: list[str]) -> list[float]:

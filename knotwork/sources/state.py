@@ -1,15 +1,18 @@
 """The graph's state as tables, kept in versions.
 
-A version is a folder ``v<number>`` with a Parquet table each for nodes, edges, vectors and the ledger;
-``LOG`` names the versions in order. A version is written whole before its line is added by renaming one
-small file, so readers see the old state or the new one. Paths may lie in any store that Hadoop knows.
+A version has a folder of its own with a Parquet table each for nodes, edges, vectors and the ledger, and a
+small file in ``LOG``, named by the version's number, which points to it. That file is put in place last, and
+only where there is none, so readers see the old state or the new one and no writer replaces another's
+version. Paths may lie in any store that Hadoop knows and that renames at once.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ class Store:
     """A folder of versions."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.seen = spark, path.rstrip("/"), None
 
     def _hadoop(self):
         jvm = self.spark.sparkContext._jvm
@@ -64,30 +67,71 @@ class Store:
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def history(self) -> list[dict]:
-        """The versions in order: version, ts, message."""
+        """The versions in order: version, ts, message, and the folder of their tables."""
         jvm, fs = self._hadoop()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/LOG")
-        if not fs.exists(at):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/LOG")):
             return []
-        return [json.loads(r.value) for r in self.spark.read.text(f"{self.path}/LOG", wholetext=False).collect() if r.value.strip()]  # a line a version
+        rows = self.spark.read.schema("version long, ts string, message string, folder string").json(f"{self.path}/LOG")
+        return [r.asDict() for r in rows.where("version is not null").orderBy("version").collect()]  # a line a version
 
     def publish(self, state: State, ts: str, message: str) -> int:
-        """Writes ``state`` as the next version, which readers see at once or not at all."""
+        """Writes ``state`` as the next version, which readers see at once or not at all.
+
+        The next version follows the one that this store read or published last (the newest where it did neither).
+        Tables go to a folder of their own before the version's number is claimed, so of writers that follow one
+        version the first wins and the others get a ``Conflict`` and harm nothing."""
         past = self.history()
-        version = past[-1]["version"] + 1 if past else 1
+        after = self.seen if self.seen is not None else (past[-1]["version"] if past else 0)
+        if past and past[-1]["version"] != after:
+            raise Conflict(f"version {after} is no longer the newest; {past[-1]['version']} is")
+        version, folder = after + 1, f"data/{uuid.uuid4().hex}"
         for name, schema in _TABLES.items():
-            fitted(getattr(state, name), schema).write.mode("overwrite").parquet(f"{self.path}/v{version:08d}/{name}")
-        lines = "".join(json.dumps(row, ensure_ascii=False) + "\n" for row in [*past, {"version": version, "ts": ts, "message": message}])
-        write_text(self.spark, f"{self.path}/LOG", lines)
+            fitted(getattr(state, name), schema).write.parquet(f"{self.path}/{folder}/{name}")
+        line = json.dumps({"version": version, "ts": ts, "message": message, "folder": folder}, ensure_ascii=False) + "\n"
+        if not create_text(self.spark, f"{self.path}/LOG/{version:08d}.json", line):
+            raise Conflict(f"version {version} was published by another writer meanwhile")
+        self.seen = version
         return version
 
     def read(self, version: int | None = None) -> State:
         """A version, the last one if none is named; an empty state where there is none."""
         past = self.history()
+        if version is None:
+            self.seen = past[-1]["version"] if past else 0
         if not past:
             return empty(self.spark)
-        number = past[-1]["version"] if version is None else version
-        return State(*(self.spark.read.schema(schema).parquet(f"{self.path}/v{number:08d}/{name}") for name, schema in _TABLES.items()))
+        folder = next(v["folder"] for v in reversed(past) if version in (None, v["version"]))
+        return State(*(self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}") for name, schema in _TABLES.items()))
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since this one read."""
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small file where none is, whole and at once; False where there is one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    part = jvm.org.apache.hadoop.fs.Path(to.getParent(), f"_{uuid.uuid4().hex}")  # readers pass over names that begin so
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":  # a rename of local files would replace
+            local = lambda at: jvm.java.nio.file.Paths.get(fs.makeQualified(at).toUri())
+            jvm.java.nio.file.Files.createLink(local(to), local(part))
+        else:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(part, to, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(part, False)
+    return True
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
