@@ -90,14 +90,22 @@ def body(text: Column) -> Column:
     return F.trim(F.when(text.startswith("---\n") & text.rlike(r"(?s)\A---\n.*?\n---\n"), after).otherwise(text))
 
 
+def _seconds(stamp: Column) -> Column:
+    """Seconds since 1970 of an ISO stamp; one without a zone is in UTC, whatever the session's zone."""
+    zoned = stamp.rlike(r"\d:\d\d.*([A-Za-z]|[+-]\d\d(:?\d\d)?)\s*$")
+    day = stamp.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
+    at = F.when(zoned, stamp).when(day, F.concat(F.trim(stamp), F.lit("T00:00:00Z"))).otherwise(F.concat(F.trim(stamp), F.lit("Z")))
+    return F.unix_timestamp(F.try_to_timestamp(at))
+
+
 def parsed(stamp: Column, missing: Column) -> Column:
     """Seconds since 1970 of an ISO stamp (UTC where it names no zone); ``missing`` where it is none."""
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp)), missing)
+    return F.coalesce(_seconds(stamp), missing)
 
 
 def age_days(created: Column, now_s: int) -> Column:
     """Age of an ISO stamp in days; 0 if it can't be read."""
-    return F.coalesce((F.lit(now_s) - F.unix_timestamp(F.try_to_timestamp(created))) / 86400.0, F.lit(0.0))
+    return F.coalesce((F.lit(now_s) - _seconds(created)) / 86400.0, F.lit(0.0))
 
 
 def decay_level(recalls: Column, age: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
+from knotwork.functions.matcher import matched
 from knotwork.operators import graph
 
 NONE = "UNCLASSIFIED"
@@ -23,7 +24,7 @@ def areas_of(nodes: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(id, area) of each node whose folded text holds a keyword of ``taxonomy(area, keyword)`` anywhere."""
     words = taxonomy.select("area", T.umlaut_fold(F.lower("keyword")).alias("keyword"))
     body = nodes.select("id", T.umlaut_fold(F.lower(T.body(F.coalesce("text", F.lit(""))))).alias("body"))
-    return body.join(words, F.contains("body", F.col("keyword"))).select("id", "area").distinct()
+    return matched(body, words, whole_words=False).distinct()
 
 
 def degrees(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
+from knotwork.functions.matcher import matched
 from knotwork.operators.transitions import degrees, live
 
 REVIEWED = ("contradicts", "supersedes")
@@ -49,13 +50,10 @@ def extends_only(edges: DataFrame) -> DataFrame:
 
 
 def classified(nodes: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(area, id): live nodes whose folded text has a keyword of ``taxonomy(area, keyword)`` as whole words. Keywords of
-    one area make one pattern, so a text is read once an area."""
-    word = r"[_\p{L}\p{N}]"
-    quoted = F.concat(F.lit(rf"(?<!{word})\Q"), T.umlaut_fold(F.lower("keyword")), F.lit(rf"\E(?!{word})"))
-    patterns = taxonomy.groupBy("area").agg(F.array_join(F.sort_array(F.collect_set(quoted)), "|").alias("pattern"))  # a taxonomy's own size
+    """(area, id): live nodes whose folded text has a keyword of ``taxonomy(area, keyword)`` as whole words."""
+    words = taxonomy.select("area", T.umlaut_fold(F.lower("keyword")).alias("keyword"))
     body = nodes.where("status <> 'tombstone'").select("id", T.umlaut_fold(F.lower(F.coalesce(T.body(F.col("text")), F.lit("")))).alias("body"))
-    return body.join(patterns, F.expr("body rlike pattern")).select("area", "id")
+    return matched(body, words, whole_words=True).select("area", "id")
 
 
 def coverage(nodes: DataFrame, taxonomy: DataFrame, examples: int = 5) -> DataFrame:
