@@ -122,5 +122,27 @@ from embeddings left join n on n.id = vec_id left join c on c.id = vec_id""",
 }
 
 
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain Lloyd in SQL: a pair of tables for the assignment and the new centroids of each round."""
+    parts = [
+        f"""v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from ({_LIVE}) where len(embedding) = 64),
+c0 as (select * from (select row_number() over (order by sha256('2:' || vec_id::varchar), e) - 1 as k, e from v) where k < {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as (select rid, k, d from (select rid, k, d, row_number() over (partition by rid order by d, k) as n from
+  (select rid, k, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) as d from v, c{r} c)) where n = 1)""")
+        if r < rounds:
+            parts.append(f"""m{r} as (select k, i, floor(sum(x) / count(*)) as x from (select k, unnest(e) as x, unnest(range(64)) as i from a{r} join v using (rid)) group by k, i),
+c{r + 1} as (select k, list(x order by i) as e from m{r} group by k union all select k, e from c{r} where k not in (select k from a{r}))""")
+    return f"""with {", ".join(parts)},
+t as (select k, sum(d)::bigint as cluster_inertia from a{rounds} group by k)
+select vec_id, a.k::int as "cluster", a.d::bigint as distance, cluster_inertia, (select sum(d) from a{rounds})::bigint as inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: x::bigint::varchar), ',')) as centroid_sha256
+from a{rounds} a join v using (rid) join c{rounds} c on c.k = a.k join t on t.k = a.k"""
+
+
+ORACLES["op11_dual_tree_clusters"] = _lloyd_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
