@@ -144,5 +144,31 @@ from a{rounds} a join v using (rid) join c{rounds} c on c.k = a.k join t on t.k
 ORACLES["op11_dual_tree_clusters"] = _lloyd_sql()
 
 
+#: Prefixes are named by the digests of their turns in a row; a crc32 is taken bit by bit.
+ORACLES["op12_prefix_trie"] = r"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+bytes as (select conv_id, list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint) as b
+  from (select distinct conv_id from t)),
+crc as (select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda acc, byte:
+    list_reduce(list_prepend(xor(acc, byte), range(8)), lambda a, n: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295) % 4 as h from bytes),
+r as (select conv_id, pos, role, text from t join crc using (conv_id) where pos > h
+  union all select c.conv_id, pos, role, text from crc c join t on t.conv_id = c.conv_id - c.conv_id % 20 where pos <= h),
+p as (select conv_id, row_number() over w as d, text, string_agg(sha256(role || chr(1) || text), '') over w as pk from r window w as (partition by conv_id order by pos)),
+every as (select conv_id, d, text, pk from p union all select conv_id, 0, '', '' from crc),
+node as (select d, pk, min(conv_id) as conv_id, count(*) as n, (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) as tokens from every group by d, pk),
+last as (select conv_id, max(d) as d, max_by(pk, d) as pk from every group by conv_id),
+ends as (select d, pk, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from last group by d, pk),
+child as (select d - 1 as d, substr(pk, 1, 64 * (d::int - 1)) as pk, count(*) as children from node where d > 0 group by 1, 2),
+up as (select u.tokens, case when c.children is null then 1 else 0 end as leaf, u.pk, unnest(range(u.d + 1)) as j from node u left join child c on c.d = u.d and c.pk = u.pk),
+below as (select j as d, substr(pk, 1, 64 * j::int) as pk, sum(leaf)::bigint as n_leaves, sum(tokens)::bigint as saved_tokens from up group by 1, 2)
+select node.conv_id, node.d as depth, parent.conv_id as parent_conv_id, node.n as n_convs, coalesce(children, 0)::bigint as n_children, n_leaves, saved_tokens,
+  coalesce(ends_sha256, sha256('')) as ends_sha256
+from node join below on below.d = node.d and below.pk = node.pk
+left join child on child.d = node.d and child.pk = node.pk
+left join ends on ends.d = node.d and ends.pk = node.pk
+left join node parent on parent.d = node.d - 1 and parent.pk = substr(node.pk, 1, 64 * (node.d::int - 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
