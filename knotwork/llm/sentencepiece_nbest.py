@@ -34,6 +34,27 @@ _CACHED = 550_000  # words whose best path is remembered, in each of two generat
 _TAIL = ".,;:!?|"
 
 
+class _Path:
+    """A piece and the path behind it, which paths share; equal scores are ordered by ids, then by age."""
+
+    __slots__ = ("own", "rest", "age")
+
+    def __init__(self, own: tuple[int, ...], rest: _Path | None, age: int):
+        self.own, self.rest, self.age = own, rest, age
+
+    def ids(self):
+        path = self
+        while path is not None:
+            yield from path.own
+            path = path.rest
+
+    def __lt__(self, other: _Path) -> bool:
+        for x, y in itertools.zip_longest(self.ids(), other.ids(), fillvalue=-1):  # of two the shorter comes first
+            if x != y:
+                return x < y
+        return self.age < other.age
+
+
 class Segmenter:
     def __init__(self, path: str):
         import sentencepiece
@@ -93,14 +114,14 @@ class Segmenter:
         for i, j, s, own in edges:
             ends[j].append((i, s, own))
         best, out, queue, ties = self.forward(edges, len(word))[0], [], [], itertools.count()
-        heapq.heappush(queue, (-best[-1], (), next(ties), len(word), 0.0))
+        heapq.heappush(queue, (-best[-1], _Path((), None, next(ties)), len(word), 0.0))
         while queue and len(out) < n:
-            _, ids, _, at, done = heapq.heappop(queue)
+            _, path, at, done = heapq.heappop(queue)
             if at == 0:
-                out.append((done, ids))
+                out.append((done, tuple(path.ids())))
                 continue
             for i, s, own in ends[at]:
-                heapq.heappush(queue, (-(best[i] + s + done), own + ids, next(ties), i, done + s))
+                heapq.heappush(queue, (-(best[i] + s + done), _Path(own, path, next(ties)), i, done + s))
         return out
 
     def best(self, word: str) -> tuple[bytes, float, float]:
