@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from knotwork import report
 from knotwork.functions import embedding, gate, intent, text
 from knotwork.operators import communities as communities_of
-from knotwork.operators import graph, hygiene, ingest, search, transitions, vectors
+from knotwork.operators import graph, hygiene, ingest, inverted, search, transitions, vectors
 from knotwork.plans.graph_sql import PLANS
 from knotwork.sources import tables
-from knotwork.sources.cut import cut
+from knotwork.sources.cut import cut, shared_folder
 from knotwork.sources.state import EDGES, NODES, fitted, index_lines
 
 _BASE = ("benchmark", "conversations")
@@ -67,6 +67,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(tables.nodes(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: all nodes taken in, then tombstones removed by a second generation."""
+    nodes, index = tables.nodes(spark, sf_dir), inverted.Index(spark, shared_folder(spark))
+    index.add(nodes.drop("status"))
+    index.add(nodes.where("status = 'tombstone'"))
+    return index.search(_texts(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense(tables.nodes(spark, sf_dir), _texts(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -375,7 +383,7 @@ def _cosine_sql(op: str, select: str) -> str:
 
 
 _OPERATED = (
-    bm25_topk, dense_topk, hybrid_search, rerank_reverse, search_hits, find_by_text, hash_embed, near_dup, knn_suggest, dup_lookup, intent_detect, connectivity, degrees, status_counts, conf_bands, extends_only,
+    bm25_topk, bm25_index_topk, dense_topk, hybrid_search, rerank_reverse, search_hits, find_by_text, hash_embed, near_dup, knn_suggest, dup_lookup, intent_detect, connectivity, degrees, status_counts, conf_bands, extends_only,
     intent_queue, hubs, degree_pct, since_deltas, coverage, coverage_gaps, neighbors_1hop, neighbors_2hop, undirected_graph, shortest_path, communities, betweenness, modularity, community_stats,
     structural_gaps, community_report, god_nodes, accept_pending, lifecycle, decay_levels, refresh_kinds, recall_fold, forget, undo_edge, merge_edges, merge_report, backfill_origin, migrate_kinds, index_md,
     summary_ids, dream_plan, distill, consolidate, ingest_batch, marker_scan,
@@ -392,6 +400,7 @@ def _hits_sql() -> str:
 
 QUERIES |= {f.__name__: f for f in _OPERATED}
 ORACLES |= {
+    "bm25_index_topk": ORACLES["bm25_topk"],
     "intent_detect": INTENT_SQL,
     "search_hits": _hits_sql(),
     "merge_report": "with " + duckdb_query(PLANS["merge_edges"]).removeprefix("with ").split("\nselect id, s as source")[0] + f"""

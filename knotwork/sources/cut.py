@@ -8,13 +8,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` from a Parquet copy below ``spark.checkpoint.dir``, which a cluster has to name; on this machine
-    alone a temporary folder stands in for it."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder's name below ``spark.checkpoint.dir``, which a cluster has to name; on this machine alone a
+    temporary folder stands in for it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -22,6 +21,11 @@ def cut(rows: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="knotwork-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` from a Parquet copy in a folder that the driver and all executors share."""
+    path = shared_folder(rows.sparkSession)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
