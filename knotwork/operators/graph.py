@@ -1,33 +1,39 @@
 """Topology kernels over an undirected simple graph ``edges(a, b)`` of node ids.
 
-Asynchronous label propagation and Brandes' betweenness are sequential by definition.
-They take graphs of at most ``BOUND`` edges, and say so otherwise; label propagation in
-synchronous rounds, another algorithm with other results, has no bound.
+Label propagation and betweenness are exact, run where the edges are, and take graphs of any size. Ids that have no
+edge are communities of their own and lie on no path.
+
+``labels`` visits nodes in id order, and each sees the new labels of smaller neighbours and the old ones of larger
+ones. So a sweep is a triangular system with one solution: any assignment that agrees with itself is that solution.
+Nodes are cut into parts of consecutive ids; each part is solved in order against the others' labels as they stand,
+again and again until no label changes. Labels from outside a part are counted before they are shuffled. A hub is
+a part of its own, whose labels are only counted, so no task holds its edges.
+
+``betweenness`` is Brandes' algorithm level by level: rows (pivot, node) step along the edges by joins, forward with
+counts of shortest paths and backward with dependencies, ``PIVOTS`` pivots at a time.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import Counter
+from functools import reduce
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.sources.cut import cut
 
-BOUND = 2_000_000
+#: Nodes of a part; nodes of more neighbours than ``HUB`` are hubs, so a part has at most their product of edges.
+PART, HUB = 4096, 1024
+#: Pivots whose paths are counted together; their rows are the pivots times the nodes in their reach.
+PIVOTS = 256
 
 
-def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    """Neighbours of every node that has any, in id order; at most ``BOUND`` edges come to the driver."""
-    pairs = edges.select("a", "b").where("a <> b").limit(BOUND + 1).toArrow()
-    if len(pairs) > BOUND:
-        raise ValueError(f"the exact kernel takes {BOUND} edges at most; use synchronous_labels")
-    around: dict[str, set[str]] = {}
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-        around.setdefault(a, set()).add(b)
-        around.setdefault(b, set()).add(a)
-    return {n: sorted(around[n]) for n in sorted(around)}
+def _both(edges: DataFrame) -> DataFrame:
+    """(u, v): every edge in both directions, once, without loops."""
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
+    return pairs.union(pairs.select("v", "u")).distinct()
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -39,26 +45,65 @@ def _places(rows: DataFrame) -> DataFrame:
     return parts.withColumn("at", inside).join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("at")).alias("place"))
 
 
-def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _solved(frame: pd.DataFrame) -> pd.DataFrame:
+    """The new labels of one part's nodes, in order. Rows: a node with its old and present label (way 0), labels of
+    neighbours outside and how many have each (way 1), edges inside (way 2)."""
+    nodes = frame[frame["way"] == 0].sort_values("u")
+    old = dict(zip(nodes["u"], nodes["label"]))
+    outside: dict[str, Counter] = {n: Counter() for n in old}
+    inside: dict[str, list[str]] = {n: [] for n in old}
+    rest = frame[frame["way"] == 1]
+    for u, label, n in zip(rest["u"], rest["label"], rest["n"]):
+        outside[u][label] = n
+    rest = frame[frame["way"] == 2]
+    for u, v in zip(rest["u"], rest["v"]):
+        inside[u].append(v)
+    new = dict(old)
+    for u in old:  # smaller ids are already new
+        counts = outside[u]
+        counts.update(new[v] for v in inside[u])
+        new[u] = min(counts.items(), key=lambda c: (-c[1], c[0]))[0]
+    return pd.DataFrame({"id": list(new), "new": list(new.values())})
+
+
+def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50, part: int = PART, hub: int = HUB) -> DataFrame:
     """(id, community) by asynchronous label propagation in id order; 0 is the largest community, then by
-    smallest member. The most frequent neighbour label wins, the smallest of equals. Only nodes with an edge come to
-    the driver; the others are communities of their own."""
-    around = _adjacency(edges)
-    label = {n: i for i, n in enumerate(around)}
+    smallest member. The most frequent neighbour label wins, the smallest of equals. A node without an edge is a
+    community of its own."""
+    both = cut(_both(edges))
+    degree = both.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+    placed = cut(degree.join(_places(degree), "id").select("id", F.floor(F.col("place") / part).alias("part"), (F.col("degree") > hub).alias("hub")))
+    end = lambda c: placed.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"), F.col("hub").alias(f"hub_{c}"))
+    inner = (F.col("part_u") == F.col("part_v")) & ~F.col("hub_u") & ~F.col("hub_v")
+    arcs = cut(both.join(end("u"), "u").join(end("v"), "v").select("u", "v", F.col("part_u").alias("part"), F.col("hub_u").alias("hub"), inner.alias("inner")))
+    inside = arcs.where("inner").select("part", F.lit(2).alias("way"), "u", "v")
+    once = placed.where("hub").isEmpty() and placed.agg(F.max("part")).first()[0] in (None, 0)  # one part knows all labels
+
+    def step(now: DataFrame) -> DataFrame:
+        seen = F.when(F.col("v") < F.col("u"), F.col("new")).otherwise(F.col("old"))
+        met = arcs.where("not inner").join(now.select(F.col("id").alias("v"), "old", "new"), "v")
+        met = met.groupBy("part", "hub", "u", seen.alias("label")).agg(F.count("*").alias("n"))
+        alone = met.where("hub").groupBy(F.col("u").alias("id")).agg(F.min(F.struct(-F.col("n"), "label"))["label"].alias("new"))
+        own = now.join(placed.where("not hub"), "id").select("part", F.lit(0).alias("way"), F.col("id").alias("u"), F.col("old").alias("label"))
+        rows = own.unionByName(met.where("not hub").select("part", F.lit(1).alias("way"), "u", "label", "n"), True).unionByName(inside, True)
+        found = rows.groupBy("part").applyInPandas(_solved, "id string, new string").unionByName(alone)
+        return cut(now.select("id", "old", F.col("new").alias("before")).join(found, "id"))
+
+    now = cut(placed.select("id", F.col("id").alias("old"), F.col("id").alias("new")))
     for _ in range(rounds):
-        before = dict(label)
-        for n, near in around.items():
-            label[n] = min(Counter(label[x] for x in near).items(), key=lambda c: (-c[1], c[0]))[0]
-        if label == before:
+        while True:
+            after = step(now)
+            now = after.select("id", "old", "new")
+            if once or after.where("new <> before").isEmpty():
+                break
+        if now.where("new <> old").isEmpty():
             break
-    groups: dict[int, list[str]] = {}
-    for n, x in label.items():
-        groups.setdefault(x, []).append(n)
-    order = sorted((g for g in groups.values() if len(g) > 1), key=lambda g: (-len(g), g[0]))
-    spark = nodes.sparkSession
-    held = pa.table({"id": pa.array([n for g in order for n in g], pa.string()), "community": pa.array([i for i, g in enumerate(order) for _ in g], pa.int32())})
-    many = spark.createDataFrame(held)
-    alone = _places(nodes.join(many, "id", "left_anti")).select("id", (F.col("place") + len(order)).cast("int").alias("community"))
+        now = now.select("id", F.col("new").alias("old"), "new")
+    sizes = cut(now.groupBy("new").agg(F.count("*").alias("size"), F.min("id").alias("least")))
+    several = sizes.where("size > 1").select("new", F.format_string("%020d %s", F.lit(1 << 62) - F.col("size"), "least").alias("id"))
+    ranks = _places(several).join(several, "id").select("new", F.col("place").cast("int").alias("community"))
+    many = now.select("id", "new").join(ranks, "new").select("id", "community")
+    alone = _places(nodes.join(many, "id", "left_anti")).select("id", (F.col("place") + several.count()).cast("int").alias("community"))
     return many.join(nodes.select("id"), "id", "left_semi").unionByName(alone)
 
 
@@ -85,45 +130,44 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return degree.join(inside, "community", "left").join(F.broadcast(m)).agg(F.sum(part).alias("q"))  # m: one row
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None) -> DataFrame:
-    """(id, betweenness) in [0, 1]; with ``sample``, from every ceil(n / sample)-th id, scaled up. Sources run apart."""
-    around = _adjacency(edges)
-    spark, size = nodes.sparkSession, nodes.count()
+def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None, batch: int = PIVOTS) -> DataFrame:
+    """(id, betweenness) in [0, 1], to 12 digits; with ``sample``, from every ceil(n / sample)-th id, scaled up."""
+    size = nodes.count()
     step = -(-size // sample) if sample and sample < size else 1
+    both = cut(_both(edges))
     # Pivots are every step-th of all ids; those without an edge lie on no path.
-    places = _places(nodes).where(F.col("place") % step == 0)
-    sources = [r.id for r in places.join(spark.createDataFrame(pa.table({"id": pa.array(list(around), pa.string())})), "id", "left_semi").orderBy("id").collect()] if around else []
-    pivots = -(-size // step) if size else 0
-    held = spark.sparkContext.broadcast(around)  # bounded by BOUND edges
-
-    def run(batches):
-        near = held.value
-        total: Counter = Counter()
-        for batch in batches:
-            for s in batch.column("id").to_pylist():
-                depth, paths, order, queue = {s: 0}, Counter({s: 1.0}), [], deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                share: Counter = Counter()
-                for w in reversed(order):
-                    for v in near[w]:
-                        if depth[v] == depth[w] - 1:
-                            share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "part"])
-
-    parts = spark.createDataFrame([(s,) for s in sources], "id string").repartition(8).mapInArrow(run, "id string, part double") if sources else spark.createDataFrame([], "id string, part double")
-    norm = max((size - 1) * (size - 2), 1)
-    summed = parts.groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.select("id").join(summed, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * (size / max(1, pivots) / norm)).alias("betweenness"))
+    places = _places(nodes).where(F.col("place") % step == 0).join(both.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
+    places = cut(places.select("id", F.floor(F.col("place") / (step * batch)).alias("batch")))
+    parts = [_dependencies(both, places.where(F.col("batch") == r.batch)) for r in places.select("batch").distinct().orderBy("batch").collect()]
+    norm, pivots = max((size - 1) * (size - 2), 1), -(-size // step) if size else 0
+    share = F.round(F.coalesce("part", F.lit(0.0)) * (size / max(1, pivots) / norm), 12).alias("betweenness")
+    if not parts:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    summed = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("part").alias("part"))
+    return nodes.select("id").join(summed, "id", "left").select("id", share)
+
+
+def _dependencies(both: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(id, part): each node's dependencies summed over ``pivots(id)``. A level is a table (s, v, paths)."""
+    levels = [cut(pivots.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    while True:
+        grown = levels[-1].join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for known in levels[-2:]:  # neighbours of a level lie in it, or in the one before or after it
+            grown = grown.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        grown = cut(grown)
+        if grown.isEmpty():
+            break
+        levels.append(grown)
+    done, below = [], None
+    for level in reversed(levels[1:]):
+        share = level.withColumn("dep", F.lit(0.0))
+        if below is not None:
+            sent = below.select("s", F.col("v").alias("w"), ((1 + F.col("dep")) / F.col("paths")).alias("x")).join(both.withColumnsRenamed({"u": "w"}), "w")
+            share = level.join(sent.groupBy("s", "v").agg(F.sum("x").alias("x")), ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("dep"))
+            share = cut(share)
+        done.append(share.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("part")))
+        below = share
+    return cut(reduce(DataFrame.unionByName, done).groupBy("id").agg(F.sum("part").alias("part"))) if done else pivots.select("id", F.lit(0.0).alias("part"))
 
 
 def shortest_paths(edges: DataFrame, start: str, depth: int = 4, goal: str | None = None) -> DataFrame:
