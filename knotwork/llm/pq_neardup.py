@@ -16,7 +16,8 @@ list. It passes on counts and a spanning forest of its links, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component, and those with a null label, link with nothing; vectors of different length
-don't link; repeated rows are vectors of their own; a null vec_id has a null component.
+don't link; repeated rows are vectors of their own, and so are different vectors of one
+vec_id; magnitudes don't matter; a null vec_id has a null component.
 """
 
 from __future__ import annotations
@@ -95,15 +96,22 @@ def fit(sample: np.ndarray) -> Index:
     return Index(centroids, [_kmeans(rest[:, a:b], ENTRIES, 5) for a, b in zip(cuts, cuts[1:])], cuts)
 
 
-def _unit(column) -> np.ndarray:
+def _scaled(column) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component near 1: the same cosines, without
+    squares that overflow or vanish."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(column) -> np.ndarray:
+    x = _scaled(column)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
     """(cid, n, root): linked vectors that a task found, and a smaller class in reach, for ``classes(cid, label, vec, mult)``."""
     spark, radius = classes.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    sample = classes.orderBy(F.xxhash64("cid", "label"), "cid").select("vec").limit(SAMPLE).toArrow()["vec"].to_pylist()
+    sample = classes.orderBy(F.xxhash64("label", "vec"), "label", "vec").select("vec").limit(SAMPLE).toArrow()["vec"].to_pylist()
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -134,7 +142,7 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
         if not len(q) or not len(y):
             return pd.DataFrame({"cid": [], "n": [], "root": []}).astype("int64")
         index, cell = index_of(int(q["size"].iloc[0])), int(q["cell"].iloc[0])
-        qv, yv = (np.stack([np.asarray(v, np.float64) for v in f["vec"]]) for f in (q, y))
+        qv, yv = _scaled(q["vec"]), _scaled(y["vec"])
         qn, yn = np.linalg.norm(qv, axis=1), np.linalg.norm(yv, axis=1)
         codes = np.frombuffer(b"".join(y["code"]), np.uint8).reshape(len(y), -1)
         near = index.distances(qv / qn[:, None], cell, codes) <= radius + y["error"].to_numpy()[None, :] + 1e-9
@@ -166,11 +174,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     live = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     live = live & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = saved(vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.when(live, F.col("embedding").cast("array<double>")).alias("vec")))
-    classes = saved(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult")))
+    # A class has a number of its own, since an id may stand in several; the table that is written fixes it.
+    classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()))
     found = links(classes, threshold)
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct())
-    known = classes.join(counts, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-    known = known.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id"))
+    members = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct())
+    members = saved(members.union(members.select("component_id", "component_id").distinct()).join(classes.select(F.col("cid").alias("id"), "low"), "id"))
+    lows = members.groupBy("component_id").agg(F.min("low").alias("first"))
+    roots = members.join(lows, "component_id").select(F.col("id").alias("cid"), "first")
+    known = classes.join(counts, "cid", "left").join(roots, "cid", "left")
+    known = known.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("first", "low").alias("component_id"))
     out = rows.join(known, ["label", "vec"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -239,3 +239,10 @@ def test_op3_equal_and_missing_turns(spark, tables):
     again = {r.conv_id: r.turns_sha256 for r in queries.op3_chat_windows(spark, tables(conversations=(rows[::-1], CHATS))).collect()}
     assert again == {r.conv_id: r.turns_sha256 for r in got}  # the order of rows doesn't matter
     assert chat.unescape(chat.escape("")) == ""
+
+
+def test_op8_ids_in_several_classes_and_magnitudes(spark, tables):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (7, [1.0, 0.0], 0), (4, [1e-200, 0.0], 1), (5, [1e-200, 1e-203], 1), (6, [1e200, 1e190], 1), (1, [5.0, 5.0], 2)]
+    got = queries.op8_pq_neardup(spark, tables(embeddings=(rows, "vec_id long, embedding array<double>, label int"))).collect()
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in got)
+    assert found == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 2, 1)]
