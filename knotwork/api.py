@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
@@ -167,13 +167,17 @@ class Graph:
         now = self.clock()
         return int(now.timestamp()), now.strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def _keep(self, message: str, **tables: DataFrame) -> None:
+    def _keep(self, message: str, touched: dict | None = None, processed: DataFrame | None = None, **tables: DataFrame) -> None:
+        """Publishes ``tables``: as changes of the rows that ``touched`` names (see ``Store``), else whole."""
         state = self.state.with_(**tables)
-        if self.store is not None and self.store.path:
-            self.store.publish(state, self._now()[1], message)
-            self.state = self.store.read()
-        else:
+        if self.store is None or not self.store.path:
             self.state = state.with_(**{name: cut(rows) for name, rows in tables.items()})
+            return
+        if touched is not None:
+            self.store.publish_changes(self.state, state, touched, self._now()[1], message)
+        else:
+            self.store.publish(state, self._now()[1], message, processed)
+        self.state = self.store.read()
 
     @_answer
     def remember(self, text: str, tags: list[str] | None = None, source: str = "agent", relations: list[tuple[str, str]] | None = None, **options) -> dict:
@@ -193,7 +197,7 @@ class Graph:
         if tags and not out.duplicate:
             nodes = nodes.withColumn("tags", F.when(F.col("id") == node_id, F.array(*map(F.lit, tags))).otherwise(F.col("tags")))
         count = done.new_edges.count()
-        self._keep(f"ingest{' dup of ' + out.node_id[:8] if out.duplicate else ''}: {text[:50]}", nodes=nodes, edges=done.edges, vectors=done.vectors)
+        self._keep(f"ingest{' dup of ' + out.node_id[:8] if out.duplicate else ''}: {text[:50]}", I.touched(done, self.state.nodes, self.state.vectors), nodes=nodes, edges=done.edges, vectors=done.vectors)
         hint = {"hint": "Near duplicate: merged into the node that has it."} if out.duplicate else {}
         return {"node_id": out.node_id, "status": self._node(out.node_id).status, "edges": count, "duplicate": out.duplicate, **hint}
 
@@ -203,8 +207,8 @@ class Graph:
         query, k = text_in(query, "query", QUERY_CHARS), whole_in(k, "k", 1, MOST_HITS)
         found, hits = self._hits(query, k)
         if hits:
-            used = search.usage(found, self._query(query), self._now()[1])
-            self._keep(f"recall: {query[:50]}", ledger=self.state.ledger.unionByName(fitted(used, LEDGER)))
+            used = cut(fitted(search.usage(found, self._query(query), self._now()[1]), LEDGER))
+            self._keep(f"recall: {query[:50]}", {"ledger": used}, ledger=self.state.ledger.unionByName(used))
         return {"query": query, "count": len(hits), "tracked": True, "results": hits}
 
     @_answer
@@ -216,7 +220,7 @@ class Graph:
         now_s = self._now()[0]
         closed = transitions.live(self.state.edges).where((F.col("source") == node_id) | (F.col("target") == node_id)).count()
         nodes, edges = transitions.forget(self.state.nodes, self.state.edges, node_id, now_s)
-        self._keep(f"forget: {node_id} - {reason}", nodes=nodes, edges=edges)
+        self._keep(f"forget: {node_id} - {reason}", {"nodes": F.col("id") == node_id, "edges": _ends(node_id)}, nodes=nodes, edges=edges)
         return {"node_id": node_id, "status": "tombstone", "edges_invalidated": closed, "already_forgotten": False}
 
     def _edge(self, edge_id: str, rows: DataFrame):
@@ -229,14 +233,14 @@ class Graph:
     def resolve(self, edge_id: str, accept: bool) -> dict:
         """Accepts or rejects a pending edge."""
         self._edge(edge_id, transitions.live(self.state.edges).where("pending"))
-        self._keep(f"edge {'accept' if accept else 'reject'}: {edge_id}", edges=transitions.resolve(self.state.edges, edge_id, accept))
+        self._keep(f"edge {'accept' if accept else 'reject'}: {edge_id}", {"edges": F.col("id") == edge_id}, edges=transitions.resolve(self.state.edges, edge_id, accept))
         return {"edge_id": edge_id, "accepted": accept}
 
     @_answer
     def undo(self, edge_id: str) -> dict:
         """Puts a settled edge back among the pending."""
         self._edge(edge_id, self.state.edges.where("not pending and to_s is null"))
-        self._keep(f"edge undo: {edge_id}", edges=transitions.undo(self.state.edges, edge_id))
+        self._keep(f"edge undo: {edge_id}", {"edges": F.col("id") == edge_id}, edges=transitions.undo(self.state.edges, edge_id))
         return {"edge_id": edge_id}
 
     @_answer
@@ -249,7 +253,7 @@ class Graph:
         before = self.state.edges
         after = transitions.link(self.state.nodes, before, source, target, kind, self._now()[0])
         if after is not before:
-            self._keep(f"link: {source} {kind} {target}", edges=after)
+            self._keep(f"link: {source} {kind} {target}", {"edges": (F.col("source") == source) & (F.col("target") == target)}, edges=after)
         return {"source": source, "target": target, "kind": kind, "added": after is not before}
 
     @_answer
@@ -263,16 +267,26 @@ class Graph:
         counts = transitions.merge_counts(self.state.edges, survivor, deletee).first().asDict()
         nodes, edges = transitions.merge(self.state.nodes, self.state.edges, survivor, deletee, stamp, now_s)
         vectors, _ = vectors_for(nodes, self.state.vectors.where(~F.col("id").isin(survivor, deletee)), self.embedder)
-        self._keep(f"merge: {deletee} into {survivor}", nodes=nodes, edges=edges, vectors=vectors.where(F.col("id") != deletee))
+        both, old = F.col("id").isin(survivor, deletee), self.state.edges
+        gone = old.select("id", "seq").exceptAll(edges.select("id", "seq")).select("id")  # repeated pairs go everywhere
+        ends = old.where(_ends(survivor, deletee)).select("id").unionByName(edges.where(_ends(survivor, deletee)).select("id"))
+        new = self.state.nodes.where(both).select("id").unionByName(I.unmatched(self.state.nodes, self.state.vectors))
+        self._keep(f"merge: {deletee} into {survivor}", {"nodes": both, "edges": gone.unionByName(ends), "vectors": new}, nodes=nodes, edges=edges, vectors=vectors.where(F.col("id") != deletee))
         return {"survivor": survivor, "deletee": deletee, **counts}
 
     @_answer
-    def dream(self) -> dict:
-        """Maintenance: kinds derived anew, the ledger folded in (and emptied), promotion and decay."""
+    def dream(self, dry_run: bool = False) -> dict:
+        """Maintenance: kinds derived anew, the ledger folded in (emptied, and kept beside the version as ``processed``),
+        promotion and decay. A dry run says what would happen."""
         now_s = self._now()[0]
         nodes = cut(transitions.fold_recalls(self.state.nodes, self.state.ledger))
         edges = cut(transitions.refresh(self.state.edges))
         moves = {r.move: r["count"] for r in transitions.lifecycle_plan(nodes, edges, now_s).groupBy("move").count().collect()}
         recalls = self.state.ledger.count()
-        self._keep("dream", nodes=transitions.lifecycle(nodes, edges, now_s), edges=edges, ledger=self.state.ledger.limit(0))
-        return {"recalls": recalls, "promoted": moves.get("promote", 0), "revived": moves.get("revive", 0), "staled": moves.get("decay", 0)}
+        if not dry_run:
+            self._keep("dream", processed=self.state.ledger, nodes=transitions.lifecycle(nodes, edges, now_s), edges=edges, ledger=self.state.ledger.limit(0))
+        return {"recalls": recalls, "promoted": moves.get("promote", 0), "revived": moves.get("revive", 0), "staled": moves.get("decay", 0), "dry_run": dry_run}
+
+
+def _ends(*node_ids: str) -> Column:
+    return F.col("source").isin(*node_ids) | F.col("target").isin(*node_ids)

@@ -157,6 +157,19 @@ def ingest(
     return Ingested(state, edges.unionByName(new_edges), vectors.unionByName(own.join(became, "id", "left_semi").select("id", "vec")), outcome, new_edges)
 
 
+def touched(done: Ingested, nodes: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
+    """The ids that an ingest may have changed in each table of a state that had ``nodes`` and ``vectors`` before: what became
+    of the arrivals, targets of new edges, and vectors that were missing or stood for no node."""
+    became = done.outcome.select(F.col("node_id").alias("id"))
+    return {"nodes": became.unionByName(done.new_edges.select(F.col("target").alias("id"))), "edges": done.new_edges.select("id"), "vectors": became.unionByName(unmatched(nodes, vectors))}
+
+
+def unmatched(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Ids of nodes without a vector, and of vectors without a node."""
+    left = lambda a, b: a.select("id").join(b.select("id"), "id", "left_anti")
+    return left(nodes, vectors).unionByName(left(vectors, nodes))
+
+
 def intents(pairs: DataFrame, read: DataFrame) -> DataFrame:
     """(other columns, kind) of ``pairs(source, target, ...)`` whose texts' profiles are ``read(id, profile)``; pairs without
     a marker in either text say nothing and are left out before any profile is joined."""

@@ -1,9 +1,14 @@
 """The graph's state as tables, kept in versions.
 
-A version has a folder of its own with a Parquet table each for nodes, edges, vectors and the ledger, and a
-small file in ``LOG``, named by the version's number, which points to it. That file is put in place last, and
-only where there is none, so readers see the old state or the new one and no writer replaces another's
-version. Paths may lie in any store that Hadoop knows and that renames at once.
+A version has a folder of its own and a small file in ``LOG``, named by the version's number, which points to
+it. That file is put in place last, and only where there is none, so readers see the old state or the new one
+and no writer replaces another's version. Paths may lie in any store that Hadoop knows and that renames at once.
+
+The folder of a whole version holds a Parquet table each for nodes, edges, vectors and the ledger. That of a
+changing version holds, for each table it names, the ids it touches and the rows they have now (none: the rows
+are gone), and for the ledger the rows added. Readers take the last whole version and, of each id, the rows of
+the newest version that touches it. Every ``COMPACT``-th changing version in a row is written whole instead.
+Ids may be null or repeat: a version that touches an id holds all of its rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import uuid
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "id string, text string, source string, sources array<string>, tags array<string>, ntype string, status string, created_s long, recall_count int, recall_queries array<string>, last_recalled string"
@@ -21,6 +26,9 @@ EDGES = "seq long, id string, source string, target string, kind string, pending
 VECTORS = "id string, vec array<double>"
 LEDGER = "ts string, q string, ids array<string>"
 _TABLES = {"nodes": NODES, "edges": EDGES, "vectors": VECTORS, "ledger": LEDGER}
+_LOG = "version long, ts string, message string, folder string, changed array<string>, processed boolean"
+#: Changing versions that readers put together at most.
+COMPACT = 16
 
 
 @dataclass
@@ -67,32 +75,66 @@ class Store:
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def history(self) -> list[dict]:
-        """The versions in order: version, ts, message, and the folder of their tables."""
+        """The versions in order: version, ts, message, the folder of their tables, the tables changed (None for a
+        whole version), and whether usage was folded in."""
         jvm, fs = self._hadoop()
         if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/LOG")):
             return []
-        rows = self.spark.read.schema("version long, ts string, message string, folder string").json(f"{self.path}/LOG")
+        rows = self.spark.read.schema(_LOG).json(f"{self.path}/LOG")
         return [r.asDict() for r in rows.where("version is not null").orderBy("version").collect()]  # a line a version
 
-    def publish(self, state: State, ts: str, message: str) -> int:
-        """Writes ``state`` as the next version, which readers see at once or not at all.
-
-        The next version follows the one that this store read or published last (the newest where it did neither).
-        Tables go to a folder of their own before the version's number is claimed, so of writers that follow one
-        version the first wins and the others get a ``Conflict`` and harm nothing."""
+    def _next(self) -> tuple[list[dict], int]:
         past = self.history()
         after = self.seen if self.seen is not None else (past[-1]["version"] if past else 0)
         if past and past[-1]["version"] != after:
             raise Conflict(f"version {after} is no longer the newest; {past[-1]['version']} is")
-        version, folder = after + 1, f"data/{uuid.uuid4().hex}"
-        for name, schema in _TABLES.items():
-            fitted(getattr(state, name), schema).write.parquet(f"{self.path}/{folder}/{name}")
-        line = json.dumps({"version": version, "ts": ts, "message": message, "folder": folder}, ensure_ascii=False) + "\n"
-        if not create_text(self.spark, f"{self.path}/LOG/{version:08d}.json", line):
+        return past, after + 1
+
+    def _claim(self, version: int, **line) -> int:
+        if not create_text(self.spark, f"{self.path}/LOG/{version:08d}.json", json.dumps({"version": version, **line}, ensure_ascii=False) + "\n"):
             raise Conflict(f"version {version} was published by another writer meanwhile")
         self.seen = version
         return version
 
+    def publish(self, state: State, ts: str, message: str, processed: DataFrame | None = None) -> int:
+        """Writes ``state`` as the next version, whole, which readers see at once or not at all.
+
+        The next version follows the one that this store read or published last (the newest where it did neither).
+        Tables go to a folder of their own before the version's number is claimed, so of writers that follow one
+        version the first wins and the others get a ``Conflict`` and harm nothing. ``processed`` are rows of the
+        ledger that this version has folded in; they are kept beside it."""
+        version, folder = self._next()[1], f"data/{uuid.uuid4().hex}"
+        for name, schema in _TABLES.items():
+            fitted(getattr(state, name), schema).write.parquet(f"{self.path}/{folder}/{name}")
+        if processed is not None:
+            fitted(processed, LEDGER).write.parquet(f"{self.path}/{folder}/processed")
+        return self._claim(version, ts=ts, message=message, folder=folder, processed=processed is not None)
+
+    def publish_changes(self, before: State, after: State, touched: dict[str, Column | DataFrame], ts: str, message: str) -> int:
+        """The next version as what changes between ``before``, the version it follows, and ``after``.
+
+        ``touched`` names the tables that change: a condition or a table of ids that takes in all rows that differ, on
+        either side, and for the ledger the rows added. What is written grows with these rows, not with the graph."""
+        past, version = self._next()
+        if not past or len(past) - 1 - max(i for i, v in enumerate(past) if v["changed"] is None) >= COMPACT - 1:
+            return self.publish(after, ts, message)
+        folder = f"data/{uuid.uuid4().hex}"
+        at = f"{self.path}/{folder}"
+        for name, rows in touched.items():
+            new = fitted(getattr(after, name), _TABLES[name])
+            if name == "ledger":
+                fitted(rows, LEDGER).coalesce(1).write.parquet(f"{at}/ledger")
+                continue
+            ids = rows.select("id") if isinstance(rows, DataFrame) else getattr(before, name).where(rows).select("id").unionByName(new.where(rows).select("id"))
+            ids.distinct().coalesce(1).write.parquet(f"{at}/{name}_ids")
+            ids = self.spark.read.schema("id string").parquet(f"{at}/{name}_ids")
+            new.join(ids, new["id"].eqNullSafe(ids["id"]), "left_semi").coalesce(1).write.parquet(f"{at}/{name}")
+        return self._claim(version, ts=ts, message=message, folder=folder, changed=list(touched))
+
+    def compact(self, ts: str) -> int:
+        """The newest version once more, whole."""
+        return self.publish(self.read(), ts, "compact")
+
     def read(self, version: int | None = None) -> State:
         """A version, the last one if none is named; an empty state where there is none."""
         past = self.history()
@@ -100,8 +142,36 @@ class Store:
             self.seen = past[-1]["version"] if past else 0
         if not past:
             return empty(self.spark)
-        folder = next(v["folder"] for v in reversed(past) if version in (None, v["version"]))
-        return State(*(self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}") for name, schema in _TABLES.items()))
+        until = next(i for i in reversed(range(len(past))) if version in (None, past[i]["version"]))
+        whole = max(i for i in range(until + 1) if past[i]["changed"] is None)
+        return State(*(self._merged(name, past[whole : until + 1]) for name in _TABLES))
+
+    def _merged(self, name: str, versions: list[dict]) -> DataFrame:
+        """A table of the first of ``versions``, which is whole, with the changes of the others."""
+        load = lambda v, table, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{v['folder']}/{table}")
+        base, later = load(versions[0], name, _TABLES[name]), [v for v in versions[1:] if name in v["changed"]]
+        if not later:
+            return base
+        if name == "ledger":
+            for v in later:
+                base = base.unionByName(load(v, name, LEDGER))
+            return base
+        rows, touched = base.withColumn("_v", F.lit(versions[0]["version"])), None
+        for v in later:
+            rows = rows.unionByName(load(v, name, _TABLES[name]).withColumn("_v", F.lit(v["version"])))
+            ids = load(v, f"{name}_ids", "id string").select(F.col("id").alias("_id"), F.lit(v["version"]).alias("_newest"))
+            touched = ids if touched is None else touched.unionByName(ids)
+        newest = touched.groupBy("_id").agg(F.max("_newest").alias("_newest"))
+        joined = rows.join(newest, rows["id"].eqNullSafe(newest["_id"]), "left")
+        return joined.where("_newest is null or _newest = _v").select(*base.columns)
+
+    def processed(self) -> DataFrame:
+        """The usage that versions have folded in, (ts, q, ids, version)."""
+        out = self.spark.createDataFrame([], f"{LEDGER}, version long")
+        for v in self.history():
+            if v["processed"]:
+                out = out.unionByName(self.spark.read.schema(LEDGER).parquet(f"{self.path}/{v['folder']}/processed").withColumn("version", F.lit(v["version"]).cast("long")))
+        return out
 
 
 class Conflict(RuntimeError):

@@ -36,7 +36,8 @@ def take_in(store: Store, now: Callable[[], tuple[int, str]], embedder: Embedder
         arrivals = named.select(F.substring(F.sha1(F.concat_ws("|", F.lit(str(number)), "seq", "text")), 1, 12).alias("id"), "seq", "text", "source")
         vectors, _ = vectors_for(state.nodes, state.vectors, embedder)
         done = I.ingest(state.nodes, state.edges, cut(vectors), cut(arrivals), now_s, stamp[:10], embedder, **options)
-        store.publish(state.with_(nodes=done.nodes, edges=done.edges, vectors=done.vectors), stamp, message)
+        after = state.with_(nodes=done.nodes, edges=done.edges, vectors=done.vectors)
+        store.publish_changes(state, after, I.touched(done, state.nodes, state.vectors), stamp, message)
 
     return run
 
