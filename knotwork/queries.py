@@ -317,9 +317,9 @@ def summary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dream_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _used(spark, sf_dir)
-    none = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score")).limit(0)
-    return transitions.eligible(nodes, tables.edges(spark, sf_dir), none, _languages(spark, sf_dir), NOW_S).drop("merges")
+    """What a pass would do, pairs to merge among it; languages stand for communities."""
+    nodes, near = _used(spark, sf_dir), vectors.near_duplicates(_vectors(spark, sf_dir))
+    return transitions.eligible(nodes, tables.edges(spark, sf_dir), near, _languages(spark, sf_dir), NOW_S)
 
 
 def distill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,3 +411,4 @@ select (select cast(sum((source = '{OTHER}')::int + (target = '{OTHER}')::int) a
     "knn_suggest": _cosine_sql("<>", "select a as source, b as target, case when round(score, 9) >= 0.75 then 'similar' else 'extends' end as kind, round(round(score, 9), 6) as score, round(score, 9) < 0.95 as pending from ranked where rk <= 3 and round(score, 9) >= 0.45"),
     "dup_lookup": _cosine_sql("<>", "select a as id, b as duplicate_of, round(round(score, 9), 6) as score from ranked where rk = 1 and round(score, 9) >= 0.92"),
 }
+ORACLES["dream_plan"] = f"select p.*, (select cast(count(*) as bigint) from ({ORACLES['near_dup']}) d) as merges from ({ORACLES['dream_plan']}) p"

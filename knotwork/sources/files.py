@@ -27,6 +27,7 @@ def read_nodes(spark: SparkSession, path: str, now: str) -> DataFrame:
         field("id").alias("id"), F.regexp_replace("text", r"\A\s+|\s+\z", "").alias("text"), F.coalesce(field("created"), F.lit(now)).alias("created"), F.coalesce(field("source"), F.lit("human")).alias("source"),
         items("sources").alias("sources"), items("tags").alias("tags"), known("type", TYPES, "semantic").alias("ntype"), known("status", STATUSES, "probation").alias("status"),
         F.coalesce(F.expr("try_cast(trim(regexp_extract(head, '(?m)^recalls:[ \\\\t]*(.*)$', 1)) as int)"), F.lit(0)).alias("recall_count"),
+        items("recall_queries").alias("recall_queries"), field("last_recalled").alias("last_recalled"),
     )
 
 
@@ -34,8 +35,13 @@ def to_markdown(nodes: DataFrame) -> DataFrame:
     """(id, value) with the head and text of each node; usage only where there is any."""
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
     items = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
-    recalls = F.when(F.col("recall_count") > 0, line("recalls", F.col("recall_count").cast("string")))
-    parts = [F.lit("---"), *(line(n, F.col(c)) for n, c in (("id", "id"), ("created", "created"), ("source", "source"), ("type", "ntype"), ("status", "status"))), line("sources", items("sources")), line("tags", items("tags")), recalls, F.lit("---"), F.col("text")]
+    used, none = F.col("recall_count") > 0, F.array().cast("array<string>")
+    column = lambda name, else_: F.col(name) if name in nodes.columns else else_
+    usage = [
+        F.when(used, line("recalls", F.col("recall_count").cast("string"))), F.when(used, line("recall_queries", items(F.coalesce(column("recall_queries", none), none)))),
+        F.when(used, line("last_recalled", column("last_recalled", F.lit(None).cast("string")))),
+    ]
+    parts = [F.lit("---"), *(line(n, F.col(c)) for n, c in (("id", "id"), ("created", "created"), ("source", "source"), ("type", "ntype"), ("status", "status"))), line("sources", items("sources")), line("tags", items("tags")), *usage, F.lit("---"), F.col("text")]
     return nodes.select("id", F.concat_ws("\n", *parts).alias("value"))
 
 
@@ -128,10 +134,10 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 def collect_findings(spark: SparkSession, path: str, source: str = "unknown") -> DataFrame:
     """(source, finding) of tab-divided lines, files in order of name; the first of equal findings."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
     tab = F.instr("value", "\t")
-    rows = lines.select("file", "at", F.when(tab > 0, F.trim(F.substring_index("value", "\t", 1))).otherwise(source).alias("source"), F.when(tab > 0, F.trim(F.expr("substring(value, instr(value, '\t') + 1)"))).otherwise(F.trim("value")).alias("finding"))
-    first = F.row_number().over(Window.partitionBy("finding").orderBy("file", "at"))
+    rows = lines.select("file", "block", "at", F.when(tab > 0, F.trim(F.substring_index("value", "\t", 1))).otherwise(source).alias("source"), F.when(tab > 0, F.trim(F.expr("substring(value, instr(value, '\t') + 1)"))).otherwise(F.trim("value")).alias("finding"))
+    first = F.row_number().over(Window.partitionBy("finding").orderBy("file", "block", "at"))
     return rows.withColumn("rk", first).where("rk = 1").select("source", "finding")
 
 

@@ -10,7 +10,7 @@ from knotwork import queries
 from knotwork.functions import intent
 from knotwork.functions import text as T
 from knotwork.operators import graph, search, transitions, vectors
-from knotwork.sources import files
+from knotwork.sources import files, state
 from knotwork.streaming import recalls
 
 SF = "/root/testdata/sf0.001"
@@ -190,6 +190,11 @@ def test_files(spark, tmp_path):
     row = files.read_nodes(spark, f"{tmp_path}/n", "now").collect()
     assert [(r.id, r.status, r.tags, r.recall_count, r.created, r.text) for r in row] == [("a", "probation", ["x", "y"], 2, "now", "Body\nmore")]
     assert "recalls: 2" in files.to_markdown(files.read_nodes(spark, f"{tmp_path}/n", "now")).first().value
+    used = spark.createDataFrame([("a", "A text", 3, ["f1", "f2"], "2024-05-01T00:00:00Z"), ("b", "B", 0, ["f3"], "2024"), ("c", "C", 1, None, None)], "id string, text string, recall_count int, recall_queries array<string>, last_recalled string")
+    whole = state.fitted(used, state.NODES).withColumn("created", F.lit("2024")).withColumns({c: F.array().cast("array<string>") for c in ("sources", "tags")}).fillna("human", ["source"]).fillna("semantic", ["ntype"]).fillna("active", ["status"])
+    files.write_markdown(whole, f"{tmp_path}/used")
+    back = {r.id: (r.recall_count, r.recall_queries, r.last_recalled) for r in files.read_nodes(spark, f"{tmp_path}/used/*", "now").collect()}
+    assert back == {"a": (3, ["f1", "f2"], "2024-05-01T00:00:00Z"), "b": (0, [], None), "c": (1, [], None)}
     (tmp_path / "e.jsonl").write_text('{"id":"e","source":"a","target":"b","kind":"similar"}\nbroken\n{"id":"f","source":"a","target":"b","kind":"x","rejected":true}\n')
     assert [(r.id, r.pending, r.valid_from) for r in files.read_edges(spark, f"{tmp_path}/e.jsonl", "now").collect()] == [("e", False, "now")]
     (tmp_path / "v.jsonl").write_text('{"id":"a","vec":[1,2]}\n{"id":"a","vec":[3,4]}\n')
@@ -284,7 +289,7 @@ def test_coverage_by_word_boundary(spark, tmp_path, monkeypatch):
     assert {r.area: r.n for r in queries.QUERIES["coverage_gaps"](spark, where).collect()} == {a: len(h) for a, h in hits.items()}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup"])
+@pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup", "dream_plan"])
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()
     for table in ("documents", "labels", "orders", "events", "benchmark", "conversations"):
