@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,17 +87,45 @@ def matches(left: DataFrame, right: DataFrame, low: float, k: int | None = None)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+#: Arrivals of consecutive seq that one task settles in order.
+PART = 1024
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """A part's arrivals (other is null) settled as far as can be: by earlier ones of the part (rows with other) and what
+    is known of those before it (hit, waits)."""
+    own = rows[rows["other"].isna()].sort_values("seq")
+    inside = rows[rows["other"].notna()].groupby("id")["other"].agg(list).to_dict()
+    fresh: dict[str, bool | None] = {}
+    for key, known, hit, waits in zip(own["id"], own["fresh"], own["hit"], own["waits"]):
+        if pd.isna(known):
+            before = [fresh[o] for o in inside.get(key, [])]
+            known = False if hit or True in before else None if waits or None in before else True
+        fresh[key] = None if known is None else bool(known)
+    return own[["id", "seq", "part"]].assign(fresh=pd.Series(list(fresh.values()), index=own.index, dtype=object))
+
+
 def _settled(order: DataFrame, known: DataFrame, inside: DataFrame) -> DataFrame:
-    """(id, fresh): whether each arrival becomes a node. ``known(id)`` have a duplicate among the nodes, ``inside(source,
-    target)`` pairs an arrival with an earlier one that is near enough: a duplicate if that became a node."""
-    state = cut(order.select("id").join(known.select("id").distinct().withColumn("dup", F.lit(True)), "id", "left").select("id", F.when(F.col("dup"), False).alias("fresh")))
+    """(id, fresh): whether each arrival of ``order(id, seq)`` becomes a node. ``known(id)`` have a duplicate among the
+    nodes, ``inside(source, target)`` pairs an arrival with an earlier one that is near enough: a duplicate if that
+    became a node.
+
+    Rounds settle parts of ``PART`` places in order, each against what is known of the others, so a chain of n arrivals
+    takes about n / PART of them. A part's task gets its pairs inside the part, fewer than PART * PART / 2, and one row
+    an arrival of all others."""
+    place = order.select("id", "seq", F.floor(F.col("seq") / PART).alias("part"))
+    end = lambda c: place.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))
+    pairs = cut(inside.distinct().join(end("source"), "source").join(end("target"), "target"))
+    far, same = pairs.where("source_part <> target_part"), pairs.where("source_part = target_part")
+    near = same.select(F.col("source").alias("id"), F.lit(None).cast("long").alias("seq"), F.col("source_part").alias("part"), F.col("target").alias("other"), F.lit(None).cast("boolean").alias("fresh"), F.lit(False).alias("hit"), F.lit(0).cast("long").alias("waits"))
+    state = cut(place.join(known.select("id").distinct().withColumn("dup", F.lit(True)), "id", "left").select("id", "seq", "part", F.when(F.col("dup"), False).alias("fresh")))
     while True:
-        facts = inside.join(state.select(F.col("id").alias("target"), F.col("fresh").alias("there")), "target").groupBy(F.col("source").alias("id"))
-        facts = facts.agg(F.coalesce(F.max("there"), F.lit(False)).alias("hit"), F.count(F.when(F.col("there").isNull(), 1)).alias("waits"))
-        new = F.when(F.col("fresh").isNotNull(), F.col("fresh")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("waits", F.lit(0)) == 0, True)
-        state = cut(state.join(facts, "id", "left").select("id", new.alias("fresh")))
-        if state.where("fresh is null").isEmpty():  # every round settles the first one open at least
-            return state
+        facts = far.join(state.select(F.col("id").alias("target"), F.col("fresh").alias("there")), "target").groupBy(F.col("source").alias("id"))
+        facts = facts.agg(F.max("there").alias("hit"), F.count(F.when(F.col("there").isNull(), 1)).alias("waits"))
+        rows = state.join(facts, "id", "left").select("id", "seq", "part", F.lit(None).cast("string").alias("other"), "fresh", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("waits", F.lit(0)).alias("waits"))
+        state = cut(rows.unionByName(near).groupBy("part").applyInPandas(_in_order, "id string, seq long, part long, fresh boolean"))
+        if state.where("fresh is null").isEmpty():  # every round settles the first part open at least
+            return state.select("id", "fresh")
 
 
 def ingest(
