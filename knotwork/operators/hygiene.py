@@ -69,3 +69,10 @@ def coverage(nodes: DataFrame, taxonomy: DataFrame, examples: int = 5) -> DataFr
 def thin_areas(covered: DataFrame, threshold: int) -> DataFrame:
     """Areas below the threshold, thinnest first."""
     return covered.where(F.col("n") < threshold).orderBy("n", "area").select("area", "n")
+
+
+def origins(edges: DataFrame) -> DataFrame:
+    """(origin, n, most) of live, accepted edges: how many there are of each origin, and the most from one source; a null
+    origin counts as one."""
+    each = live(edges, pending=False).groupBy("origin", "source").agg(F.count("*").alias("n"))
+    return each.groupBy("origin").agg(F.sum("n").alias("n"), F.max("n").alias("most"))

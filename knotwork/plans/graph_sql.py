@@ -198,7 +198,7 @@ union all select id, source, target, coalesce(to_s, 0) from {edges} where reject
     "index_md": "select id, '| [' || replace(substr(coalesce(text, ''), 1, 60), '|', '\\\\|') || '](nodes/' || id || '.md) | ' || coalesce(source, '') as line from {nodes} where status <> 'tombstone'",
     "findings_collect": "ranked as (select conv_id, turn, role as source, text, row_number() over (partition by text order by conv_id, turn) as rk from {conversations} where text is not null and trim(text) <> '')\n--\nselect conv_id, turn, source, text from ranked where rk = 1",
     "adapt_strategy": "counts as (select lang as area, count(*) as n from {nodes} group by lang), total as (select sum(n) as t from counts)\n--\nselect area, round((case when area = 'de' then 2 else 1 end) * (1 + 1 - n / (1.0e0 * t)), 3) as weight from counts cross join total",
-    "origin_minimum": f"select kind, cast(max(n) as bigint) as most from (select source, kind, count(*) as n from {{edges}} where {LIVE} and not pending group by source, kind) x group by kind having max(n) >= 1",
+    "origin_minimum": f"select origin, cast(sum(n) as bigint) as n, cast(max(n) as bigint) as most from (select source, origin, count(*) as n from (select source, case when {_INTENT} then 'intent' when confidence is not null then 'suggester' else 'manual' end as origin from {{edges}} where {LIVE} and not pending) e group by source, origin) x group by origin",
     "summary_ids": "select source, 'c' || substr(sha1(string_agg(id, '|' order by id)), 1, 11) as id from {nodes} where status <> 'tombstone' group by source",
     "consolidate_duplicates": "ranked as (select id, row_number() over (partition by lower(trim(text)) order by id) as rk, min(id) over (partition by lower(trim(text))) as survivor from {nodes} where status <> 'tombstone')\n--\nselect id, survivor from ranked where rk > 1",
     "dream_plan": f"""deg as (select id, count(*) as deg from (select source as id from {{edges}} where {LIVE} and not pending union all select target from {{edges}} where {LIVE} and not pending) x group by id), used as (select id, count(*) as recalls from {{recalls}} group by id),

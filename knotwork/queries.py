@@ -16,6 +16,7 @@ from knotwork.plans.graph_sql import PLANS
 from knotwork.sources import tables
 from knotwork.sources.cut import cut, shared_folder
 from knotwork.sources.state import EDGES, NODES, fitted, index_lines
+from knotwork.streaming import folding
 
 _BASE = ("benchmark", "conversations")
 
@@ -270,6 +271,18 @@ def recall_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("id", F.col("recall_count").cast("long").alias("recalls"), F.size(q).cast("long").alias("kept"), F.array_min(q).alias("first_q"), F.array_max(q).alias("last_q"), F.col("last_recalled").cast("long").alias("last_s"))
 
 
+def recall_fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the state that a stream of usage keeps, over the whole ledger at once."""
+    events = tables.recalls(spark, sf_dir).select(F.timestamp_seconds("ts_s").alias("ts"), "q", "id")
+    q = F.col("recall_queries")
+    known = folding.folded(events).join(tables.nodes(spark, sf_dir).select("id"), "id", "left_semi")
+    return known.select("id", F.col("recall_count").alias("recalls"), F.size(q).cast("long").alias("kept"), F.array_min(q).alias("first_q"), F.array_max(q).alias("last_q"), F.unix_timestamp("last_recalled").alias("last_s"))
+
+
+def origin_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hygiene.origins(tables.edges(spark, sf_dir).withColumn("origin", text.origin_of(F.col("kind"), F.col("confidence"))))
+
+
 def forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, old = tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir)
     nodes, edges = transitions.forget(before, old, NODE, NOW_S)
@@ -385,7 +398,7 @@ def _cosine_sql(op: str, select: str) -> str:
 _OPERATED = (
     bm25_topk, bm25_index_topk, dense_topk, hybrid_search, rerank_reverse, search_hits, find_by_text, hash_embed, near_dup, knn_suggest, dup_lookup, intent_detect, connectivity, degrees, status_counts, conf_bands, extends_only,
     intent_queue, hubs, degree_pct, since_deltas, coverage, coverage_gaps, neighbors_1hop, neighbors_2hop, undirected_graph, shortest_path, communities, betweenness, modularity, community_stats,
-    structural_gaps, community_report, god_nodes, accept_pending, lifecycle, decay_levels, refresh_kinds, recall_fold, forget, undo_edge, merge_edges, merge_report, backfill_origin, migrate_kinds, index_md,
+    structural_gaps, community_report, god_nodes, accept_pending, lifecycle, decay_levels, refresh_kinds, recall_fold, recall_fold_state, origin_minimum, forget, undo_edge, merge_edges, merge_report, backfill_origin, migrate_kinds, index_md,
     summary_ids, dream_plan, distill, consolidate, ingest_batch, marker_scan,
 )
 def _hits_sql() -> str:
@@ -401,6 +414,7 @@ def _hits_sql() -> str:
 QUERIES |= {f.__name__: f for f in _OPERATED}
 ORACLES |= {
     "bm25_index_topk": ORACLES["bm25_topk"],
+    "recall_fold_state": ORACLES["recall_fold"],
     "intent_detect": INTENT_SQL,
     "search_hits": _hits_sql(),
     "merge_report": "with " + duckdb_query(PLANS["merge_edges"]).removeprefix("with ").split("\nselect id, s as source")[0] + f"""

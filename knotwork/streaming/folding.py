@@ -6,7 +6,7 @@ interrupted, replayed from its checkpoint or fed late ends with what ``transitio
 ledger for nodes without any usage before. Tasks combine their rows a node before the shuffle, so a node that a third
 of all rows name costs a row a batch and task.
 
-Null ids are left out; a null fingerprint counts as a recall and is not kept; a null time counts too.
+Null ids are left out; a null fingerprint counts as a recall and is not kept; a null time counts too where there is no watermark.
 """
 
 from __future__ import annotations
@@ -76,6 +76,7 @@ def folded(events: DataFrame, most: int = 25, quiet_days: float | None = None, l
     true; that needs a watermark, so rows more than ``late`` behind the newest are then lost. Without it none are."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    _ = spark.streams.active  # starts what coordinates state stores, which a table needs too
     parts = events.where("id is not null").select("id", "q", "ts").mapInPandas(_combined(most), _PART)
     if quiet_days is not None:
         parts = parts.withWatermark("last", late)

@@ -28,3 +28,18 @@ def test_any_division_and_order_gives_what_the_whole_ledger_gives(spark, tmp_pat
     table = spark.createDataFrame([*used, (None, "q", "2024-05-01T00:00:00Z")], "id string, q string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert {r.id: shown(r) for r in folding.folded(table, most=5).collect()} == want
     assert folding.folded(table.limit(0)).isEmpty()
+
+
+def test_a_node_that_falls_quiet_gets_its_row_once_more(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, batches = [], [[("2024-05-01", "a"), ("2024-05-03", "b")], [("2024-05-08", "a")], [("2024-05-20", "c"), (None, "d")], [("2024-05-20", "c")]]
+
+    def keep(batch, _):
+        out.extend((r.id, r.recall_count, r.quiet) for r in batch.collect())
+
+    for number, rows in enumerate(batches):
+        (tmp_path / f"in/{number}.json").write_text("".join(json.dumps({"ts": t and f"{t}T00:00:00Z", "q": None, "ids": [i]}) + "\n" for t, i in rows))
+        stream = folding.folded(recalls.ledger(spark, f"{tmp_path}/in"), quiet_days=7)
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(240)
+    assert sorted(x for x in out if x[2]) == [("a", 2, True), ("b", 1, True)]
+    assert ("c", 2, False) in out and ("a", 2, False) in out

@@ -289,7 +289,7 @@ def test_coverage_by_word_boundary(spark, tmp_path, monkeypatch):
     assert {r.area: r.n for r in queries.QUERIES["coverage_gaps"](spark, where).collect()} == {a: len(h) for a, h in hits.items()}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup", "dream_plan"])
+@pytest.mark.parametrize("name", ["hybrid_search", "connectivity", "degree_pct", "neighbors_2hop", "lifecycle", "accept_pending", "near_dup", "dream_plan", "recall_fold_state", "origin_minimum"])
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()
     for table in ("documents", "labels", "orders", "events", "benchmark", "conversations"):
