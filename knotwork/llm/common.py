@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache, in each of two generations.
 CACHE_WORDS = 200_000
+#: Longer words (lines of a script without spaces, encoded data) are not kept, which bounds the bytes that entries take.
+LONGEST_KEPT = 64
+#: Characters of words in each generation of a word table.
+TABLE_CHARS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class WordCache(dict):
-    """``cache[word]`` computes a missing entry once. A full cache becomes the older generation, from
+    """``cache[word]`` computes a missing entry once, that of a long word each time. A full cache becomes the older generation, from
     which words in use come back, so memory stays bounded and frequent words stay."""
 
     def __init__(self, make: Callable, limit: int = CACHE_WORDS):
@@ -60,6 +64,8 @@ class WordCache(dict):
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, word):
+        if len(word) > LONGEST_KEPT:
+            return self.make(word)
         value = self[word] = self.older[word] if word in self.older else self.make(word)
         return value
 
@@ -75,14 +81,14 @@ class WordTable(dict):
 
     def __init__(self, make: Callable, width: int, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.limit, self.used = make, limit, 1
+        self.make, self.limit, self.used, self.chars = make, limit, 1, 0
         self.matrix = np.zeros((1024, width), np.float32)
         self.older, self.older_matrix = {}, self.matrix
 
     def places(self, words: list[str]) -> np.ndarray:
         """Row numbers of ``words`` in ``matrix``, until the next call."""
-        if len(self) > self.limit:
-            self.older, self.older_matrix, self.used = dict(self), self.matrix[: self.used].copy(), 1
+        if len(self) > self.limit or self.chars > TABLE_CHARS:
+            self.older, self.older_matrix, self.used, self.chars = dict(self), self.matrix[: self.used].copy(), 1, 0
             self.clear()
         found = list(map(self.get, words))
         if None in found:
@@ -100,6 +106,7 @@ class WordTable(dict):
         while end > len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
         self.matrix[self.used : end] = rows
+        self.chars += sum(map(len, words))
         places = np.zeros(len(words), np.int64)
         places[live] = np.arange(self.used, end)
         self.used = end
