@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,21 @@ def test_query_equals_duckdb(spark, name):
     columns = sorted(want.columns)
     rows = lambda d: sorted(d[columns].astype(str).itertuples(index=False, name=None))
     assert rows(want) == rows(got)
+
+
+def test_vectors_in_blocks_and_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 70)
+    monkeypatch.setattr(vectors, "TILE", 8)
+    rng = np.random.default_rng(7)
+    rows = np.repeat(rng.integers(-3, 4, (150, 6)), 2, axis=0)[:280].astype(float)  # copies, and many equal cosines
+    names = [f"v{i:03d}" for i in rng.permutation(len(rows))]
+    v = spark.createDataFrame([(n, r.tolist()) for n, r in zip(names, rows)], "id string, vec array<double>")
+    unit = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-300)[:, None]
+    cos = np.round(unit @ unit.T, 9)
+    pairs = {tuple(sorted((names[i], names[j]))) for i in range(len(rows)) for j in range(i) if 0.7801 <= cos[i, j] < 0.92}
+    assert {(r.a, r.b) for r in vectors.near_duplicates(v, 0.7801, 0.92).collect()} == pairs
+    assert vectors.near_counts(v, 0.7801, 0.92).agg(F.sum("pairs")).first()[0] == len(pairs) > 100
+    for k, low in ((1, 0.92), (3, -np.inf), (2, 0.5)):
+        best = {(names[i], names[j]) for i in range(len(rows)) for j in sorted((j for j in range(len(rows)) if j != i and cos[i, j] >= low), key=lambda j: (-cos[i, j], names[j]))[:k]}  # noqa: B023
+        assert {(r.source, r.target) for r in vectors.nearest(v, k, low).collect()} == best
+    assert "Exchange" not in vectors._crossed(vectors._packed(v), True)._jdf.queryExecution().executedPlan().toString()  # a pair of blocks copies no rows
