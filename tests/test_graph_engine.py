@@ -4,11 +4,12 @@ import json
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork import queries
-from knotwork.functions import intent
+from knotwork.functions import embedding, intent
 from knotwork.functions import text as T
 from knotwork.operators import graph, search, transitions, vectors
 from knotwork.sources import files, state
@@ -318,3 +319,33 @@ def test_vectors_in_blocks_and_tiles_equal_brute_force(spark, monkeypatch):
         best = {(names[i], names[j]) for i in range(len(rows)) for j in sorted((j for j in range(len(rows)) if j != i and cos[i, j] >= low), key=lambda j: (-cos[i, j], names[j]))[:k]}  # noqa: B023
         assert {(r.source, r.target) for r in vectors.nearest(v, k, low).collect()} == best
     assert "Exchange" not in vectors._crossed(vectors._packed(v), True)._jdf.queryExecution().executedPlan().toString()  # a pair of blocks copies no rows
+
+
+def test_find_by_text_pairs_no_common_beginnings(spark):
+    """Refs and texts that share a beginning of a power of two of characters meet by whole refs only."""
+    texts = [(f"n{i:03d}", f"a common head {i:03d} and its tail{'s' * (i % 3)}") for i in range(300)]
+    nodes = spark.createDataFrame(texts, "id string, text string")
+    refs = spark.createDataFrame([(i, f"A common  head {i:03d}") for i in range(300)] + [(900, "a common head 00"), (901, texts[7][1]), (902, "a common head x")], "qid long, text string")
+    found = search.find_by_text(nodes, refs)
+    want = {i: (f"n{i:03d}", False) for i in range(300)} | {900: ("n000", False), 901: ("n007", True)}
+    assert {r.qid: (r.id, r.exact) for r in found.collect()} == want
+    assert "startswith" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_batches_are_read_in_slices(spark):
+    rows = spark.range(1500).select(F.col("id").cast("string").alias("id"), F.lit("the parser replaces the scanner").alias("text")).coalesce(1)
+    sizes = lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in it)
+    for made in (intent.profiles(rows), embedding.vectors_of(rows)):
+        assert made.count() == 1500
+    assert [b.num_rows for b in embedding.slices(pa.Table.from_pydict({"x": list(range(1500))}).to_batches())] == [512, 512, 476]
+    assert max(r.n for r in rows.mapInArrow(lambda it: sizes(embedding.slices(it, 100)), "n long").collect()) == 100
+
+
+def test_labels_send_no_table_to_the_driver(spark):
+    seen, keep = [], graph.cut
+    try:
+        graph.cut = lambda rows: seen.append(rows._jdf.queryExecution().executedPlan().toString()) or keep(rows)
+        graph.labels(ids(spark, "abcxyz"), pairs(spark, *TRIANGLES), part=2).collect()
+    finally:
+        graph.cut = keep
+    assert sum("Join" in p for p in seen) > 2 and not any("BroadcastHashJoin" in p and "part_u" in p or "BroadcastHashJoin" in p and "before" in p for p in seen)
