@@ -31,27 +31,28 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("usage", "n long, qs array<string>, last_us long")
 
-    def _row(self, key, quiet: bool) -> pd.DataFrame:
-        n, qs, last = self.held.get()
+    def _row(self, key, state: tuple, quiet: bool) -> pd.DataFrame:
+        n, qs, last = state
         return pd.DataFrame({"id": [key[0]], "recall_count": [n], "recall_queries": [list(qs)], "last_recalled": pd.Series([pd.NaT if last is None else pd.Timestamp(last, unit="us")], dtype="datetime64[us]"), "quiet": [quiet]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        n, qs, last = self.held.get() if self.held.exists() else (0, [], None)
+        n, qs, last = self.held.get() or (0, [], None)
         qs = set(qs)
         for part in rows:
             n += int(part["n"].sum())
             qs = set(sorted(qs.union(*part["qs"]))[: self.most])
             if (new := part["last"].max()) is not pd.NaT:
                 last = max(last or 0, new.value // 1000)
-        self.held.update((n, sorted(qs), last))
+        state = (n, sorted(qs), last)
+        self.held.update(state)
         if self.quiet_ms is not None and last is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(last // 1000 + self.quiet_ms)
-        yield self._row(key, False)
+        yield self._row(key, state, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield self._row(key, True)
+        yield self._row(key, self.held.get(), True)
 
     def close(self) -> None:
         pass
