@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.functions.embedding import slices
 from knotwork.functions.text import OBJECT_MARKERS, PRIORITY, STOP_WORDS
 
 _WORD = re.compile("[a-zäöüß0-9]+")
@@ -53,7 +54,7 @@ def profiles(rows: DataFrame, text: str = "text", name: str = "profile") -> Data
     keep = [c for c in rows.columns if c != text]
 
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             found = [profile(t) for t in batch.column(text).to_pylist()]
             both = pa.StructArray.from_arrays([pa.array([c for c, _ in found], pa.list_(pa.string())), pa.array([h for _, h in found], pa.list_(_HIT))], names=["content", "hits"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), both], names=[*keep, name])

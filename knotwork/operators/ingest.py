@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions import intent
-from knotwork.functions.embedding import Embedder, vectors_of
+from knotwork.functions.embedding import Embedder, slices, vectors_of
 from knotwork.operators import transitions as T
 from knotwork.operators import vectors as V
 from knotwork.sources.cut import cut
@@ -66,7 +66,7 @@ def matches(left: DataFrame, right: DataFrame, low: float, k: int | None = None)
             for size, rows in by_size.items():
                 m = np.stack([v for _, v in rows])
                 sides[size] = np.array([i for i, _ in rows], dtype=object), m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-            for batch in it:
+            for batch in slices(it, BLOCK):
                 ids, vecs = batch.column("id").to_pylist(), batch.column("vec").to_pylist()
                 for size, (sources, m) in sides.items():
                     rows = [r for r, v in enumerate(vecs) if v is not None and len(v) == size]
