@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from knotwork.operators import graph, paths
+from knotwork.operators import communities, graph, paths
 from tests.test_topology import brandes, tables
 
 
@@ -40,3 +41,13 @@ def test_betweenness_over_several_parts_and_blocks_equals_brute_force(spark, mon
     found = {r.id: r.betweenness for r in graph.betweenness(*tables(spark, names, pairs)).collect()}
     assert found == pytest.approx(brandes(names, pairs), abs=1e-11)
     assert sizes[0][0] == 3 and sizes[0][1] > 1
+
+
+def test_a_report_that_shows_no_god_nodes_counts_no_paths(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(communities.graph, "betweenness", lambda nodes, pairs, sample=None: asked.append(sample) or nodes.select("id", F.lit(0.5).alias("betweenness")))
+    nodes = spark.createDataFrame([(i, f"text {i}", "new") for i in "abc"], "id string, text string, status string")
+    edges = spark.createDataFrame([("a", "b", False, None, False), ("b", "c", False, None, False)], "source string, target string, rejected boolean, to_s long, pending boolean")
+    found = communities.analyze(nodes, edges, min_size=1, sample=2)
+    assert communities.provider(found, min_size=1).count() == 1 and asked == []
+    assert found.gods.count() == 3 and found.gods.count() == 3 and asked == [2]
