@@ -6,8 +6,9 @@ and range of nodes (with the greatest count and the shortest node in it, which b
 counts for their words, so how many nodes have a word, how many there are and their mean length are sums over
 generations. A small file in ``LOG``, created only where there is none, makes a generation visible at once.
 
-A range holds about ``RANGE`` nodes of like length, so no list is in one group, however common its word, and
-bounds are near the scores. A search reads the bounds of its words, scores each query's k most promising ranges,
+A range holds about ``RANGE`` nodes of like length (fewer of long ones), so no list is in one group, however common its
+word, and bounds are near the scores. Lists are made and scored range by range: a generation shuffles its nodes once, and
+a search the lists of its words once, however many queries ask for them. A search reads the bounds of its words, scores each query's k most promising ranges,
 takes the k-th score found there as a floor, and then only the ranges whose bound reaches it. Results are exact and
 equal ``search.bm25``. Lists of other words are not read: files are parted by a hash of the word and sorted by
 word. A skipped range is neither unpacked, shuffled nor scored.
@@ -23,16 +24,18 @@ import math
 import uuid
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotwork.operators.search import BLOCK, K1, B
 from knotwork.sources.cut import cut
 from knotwork.sources.state import Conflict, create_text
 
-#: Nodes of a range, and folders that words are hashed to.
-RANGE, BUCKETS = 1024, 16
+#: Nodes of a range, folders that words are hashed to, and words of a range's nodes.
+RANGE, BUCKETS, HELD = 1024, 16, 1 << 20
 _SLACK = 1e-6  # more than what rounding can move a score
 _DOCS = "id string, size long, words array<string>, counts array<int>"
 _POSTINGS = "word string, range long, n long, top int, shortest long, list array<struct<id:string,count:int,size:long>>, gen string, bucket int"
@@ -101,16 +104,19 @@ class Index:
         old.select("id", F.col("gen").alias("of")).write.parquet(at("gone"))
 
         length = F.floor(4 * F.log2(F.col("size") + 1))
-        parts = docs.groupBy(length.alias("length")).agg(F.ceil(F.count("*") / self.range_size).alias("parts"))  # a row a class of lengths
+        # A row a class of lengths; ranges of long nodes have fewer of them, so that about ``HELD`` words are in one.
+        parts = docs.groupBy(length.alias("length")).agg(F.ceil(F.greatest(F.count("*") / self.range_size, F.sum(F.size("words")) / HELD)).alias("parts"))
         ranged = docs.withColumn("length", length).join(F.broadcast(parts), "length")
-        ranged = ranged.select("id", "size", (F.col("length") * (1 << 40) + F.pmod(F.xxhash64("id"), "parts")).alias("range"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
+        ranged = ranged.select("id", "size", "words", "counts", (F.col("length") * (1 << 40) + F.pmod(F.xxhash64("id"), "parts")).alias("range"))
+        # Nodes are shuffled whole, by range; the lists of a range are then made where its nodes are.
+        ranged = ranged.repartition("range").select("id", "size", "range", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         entry = F.struct("id", F.col("w.counts").alias("count"), "size")
         lists = ranged.groupBy(F.col("w.words").alias("word"), "range").agg(
             F.count("*").alias("n"), F.max("w.counts").alias("top"), F.min("size").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("list")
         )  # about RANGE entries
         less = old.select(F.explode("words").alias("word")).groupBy("word").agg((-F.count("*")).alias("n"))
         rows = lists.unionByName(less, allowMissingColumns=True).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-        rows.repartitionByRange("bucket", "word", "range").sortWithinPartitions("bucket", "word", "range").write.partitionBy("bucket").parquet(at("postings"))
+        rows.sortWithinPartitions("bucket", "word", "range").write.partitionBy("bucket").parquet(at("postings"))
 
         total = lambda d: d.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("w")).first()
         new, lost = total(docs), total(old)
@@ -153,32 +159,58 @@ class _Block:
         self.gone = index._table("gone", _GONE, past).select("id", F.col("of").alias("gen"))
         self.part = lambda n, length: n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean))
         weighed = F.broadcast(spark.createDataFrame(weights, "q int, word string, weight double"))  # the block's words
-        self.lists = lists.where("range is not null").join(weighed, "word")
+        self.found = lists.where("range is not null")
+        self.lists = self.found.join(weighed, "word")
+        asking: dict[str, list] = {}
+        for q, word, weight in weights:
+            asking.setdefault(word, []).append((q, weight))
+        self.asking = spark.sparkContext.broadcast(asking)  # the same, by word
 
     def bounds(self) -> DataFrame:
         """(q, gen, range, bound): no node of the range scores more; read without the lists themselves."""
         return self.lists.groupBy("q", "gen", "range").agg(F.sum(F.col("weight") * self.part(F.col("top"), F.col("shortest"))).alias("bound"))
 
-    def scores(self, picked: DataFrame) -> DataFrame:
-        """(q, id, score) of the nodes in force in ``picked(q, gen, range)``, summed in order of words."""
-        hits = self.lists.join(picked.select("q", "gen", "range"), ["q", "gen", "range"], "left_semi").select("q", "gen", "word", "weight", F.inline("list"))
-        hits = hits.join(self.gone, ["id", "gen"], "left_anti")
-        terms: Column = F.sort_array(F.collect_list(F.struct("word", (F.col("weight") * self.part(F.col("count"), F.col("size"))).alias("x"))))  # a query's words
-        return hits.groupBy("q", "id").agg(F.round(F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["x"]), 9).alias("score")).where("score > 0")
+    def scores(self, picked: DataFrame, k: int) -> DataFrame:
+        """(q, id, score) of the nodes in force in ``picked(q, gen, range)``, summed in order of words; of each range those that
+        may be among a query's k best. Lists are shuffled once, by range, however many queries ask for their words."""
+        part, asking = self.part, self.asking
+        picked = picked.select("q", F.col("gen").alias("of"), F.col("range").alias("among"))
+        some = self.found.select("gen", "range", "word", "list").join(picked, (F.col("gen") == F.col("of")) & (F.col("range") == F.col("among")), "left_semi")
+        held = some.select("gen", "range", "word", F.inline("list")).join(self.gone, ["id", "gen"], "left_anti")
+
+        def score(entries: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+            ids, at = np.unique(entries["id"].to_numpy(str), return_inverse=True)
+            queries = np.unique(wanted["q"].to_numpy())
+            place = {q: i for i, q in enumerate(queries.tolist())}
+            total = np.zeros((len(queries), len(ids)))
+            x = part(entries["count"].to_numpy(np.float64), entries["size"].to_numpy(np.float64))
+            for word, rows in sorted(entries.groupby("word").indices.items()):
+                for q, weight in asking.value[word]:
+                    if q in place:
+                        total[place[q], at[rows]] += weight * x[rows]
+            out = []
+            for q, line in zip(queries, total):
+                least = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else 0.0
+                best = np.flatnonzero((line > 0) & (line >= least - _SLACK))
+                out.append(pd.DataFrame({"q": q, "id": ids[best], "score": line[best]}))
+            return pd.concat(out) if out else pd.DataFrame({"q": [], "id": [], "score": []})
+
+        hits = held.groupBy("gen", "range").cogroup(picked.groupBy("of", "among")).applyInPandas(score, "q int, id string, score double")
+        return hits.select("q", "id", F.round("score", 9).alias("score")).where("score > 0")
 
     def ranges(self, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The scores of each query's first k ranges (its k best may lie in as many), all ranges by bound, and those
         still to be scored."""
         order = Window.partitionBy("q").orderBy(F.desc("bound"), "gen", "range")
         every = cut(self.bounds().withColumn("place", F.row_number().over(order)))
-        early = cut(_ranked(self.scores(every.where(F.col("place") <= k)), k))
+        early = cut(_ranked(self.scores(every.where(F.col("place") <= k), k), k))
         floor = early.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
         later = every.where(F.col("place") > k).join(F.broadcast(floor), "q", "left").where(F.col("bound") + _SLACK >= F.coalesce("floor", F.lit(0.0)))  # a row a query
         return early, every, later
 
     def best(self, k: int) -> DataFrame:
         early, _, later = self.ranges(k)
-        return _ranked(early.drop("rank").unionByName(self.scores(later)), k)
+        return _ranked(early.drop("rank").unionByName(self.scores(later, k)), k)
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:

@@ -73,3 +73,14 @@ def test_an_empty_batch_and_a_repeated_id(spark, tmp_path):
     index.add(spark.createDataFrame([("a", "x", "new"), ("a", "y", "new"), ("b", "y", "tombstone")], NODE).withColumn("word", F.lit("clash")))
     got = index.search(spark.createDataFrame([(1, "y")], "qid int, text string"))
     assert [(r.id, r.rank) for r in got.collect()] == [("a", 1)]
+
+
+def test_lists_are_made_and_scored_where_ranges_are(spark, tmp_path):
+    index = Index(spark, str(tmp_path), range_size=16)
+    index.add(spark.createDataFrame(texts(300, 6), NODE))
+    block = _Block(index, index.generations(), ["w0 w1 w2", "w0 w1", "w1 w2", "w0"])
+    picked = block.bounds().select("q", "gen", "range")
+    assert block.scores(picked, 2).groupBy("q").count().where("count > 2 * 60").isEmpty()  # a few of each range go on, not every hit
+    best = {(r.q, r.id, r.score) for r in block.best(2).collect()}
+    want = search.bm25(spark.createDataFrame(texts(300, 6), NODE), spark.createDataFrame([(0, "w0 w1 w2"), (1, "w0 w1"), (2, "w1 w2"), (3, "w0")], "qid int, text string"), 2)
+    assert best == {(r.qid, r.id, r.score) for r in want.collect()} and len(best) == 8
