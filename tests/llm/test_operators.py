@@ -328,6 +328,37 @@ def test_op9_equals_brute_force(spark, tables, monkeypatch, limits):
     assert got == dict(enumerate(removed_by_brute_force(texts)))
 
 
+def test_op9_equals_brute_force_where_every_group_is_large(spark, tables, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GIANT", 1)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 1)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghé \n") for _ in range(n))
+    line, long = noise(330), noise(900)
+    texts = repeated_texts() + [noise(90) + line + noise(90) for _ in range(20)] + [noise(30) + long[i * 20 : 520 + i * 17] + noise(30) for i in range(20)]
+    texts += [(line[:70] + "\n") * 30 + noise(9) for _ in range(5)] + [long] * 4
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op9_suffix_dedup(spark, tables(documents=(rows_of(texts), DOCS))).collect()}
+    assert got == dict(enumerate(removed_by_brute_force(texts)))
+
+
+def test_a_large_bucket_is_answered_as_a_small_one_and_not_by_all_passages(spark, monkeypatch):
+    """Contexts of one core that agree to any extent; beyond the production limit no bucket goes to one task."""
+    rng, reach = random.Random(10), suffix_dedup.Reach(60, 20)
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    lefts, rights, core = [some(40) for _ in range(6)], [some(40) for _ in range(6)], some(20)
+    rows = []
+    for at in range(100, 700):
+        left, right = rng.choice(lefts)[: rng.choice([rng.randrange(41), 40])], rng.choice(rights)[: rng.choice([rng.randrange(41), 40])]
+        i, j = rng.randrange(41), rng.randrange(41)
+        rows.append((bytes([at % 7]), at, (left[:i] + some(len(left) - i)), core + right[:j] + some(len(right) - j)))
+    expected = {(key, at - l, at + r) for (key, at, *_), (l, r) in zip(rows, suffix_dedup.extents([r[2] for r in rows], [r[3] for r in rows], reach)) if r}
+    contexts = spark.createDataFrame(rows, "key binary, at long, left binary, right binary")
+    for heavy in (1, 4096):
+        monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+        found = [(bytes(r.key), r.start, r.end) for r in suffix_dedup._giants(contexts, reach).collect()]
+        assert set(found) == expected and len(found) == len(set(found)) and 100 < len(found) < len(rows)
+    assert suffix_dedup.GIANT <= 20_000
+
+
 def test_shorter_passages_and_clashing_names(spark):
     reach = suffix_dedup.Reach(200, 100)
     texts = repeated_texts()
