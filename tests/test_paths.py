@@ -51,3 +51,30 @@ def test_a_report_that_shows_no_god_nodes_counts_no_paths(spark, monkeypatch):
     found = communities.analyze(nodes, edges, min_size=1, sample=2)
     assert communities.provider(found, min_size=1).count() == 1 and asked == []
     assert found.gods.count() == 3 and found.gods.count() == 3 and asked == [2]
+
+
+def test_a_task_that_holds_the_graph_gives_the_same_as_levels(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(70), 2))) for _ in range(120)} | {(0, j) for j in range(1, 30)} | {(100, 101), (101, 102)})
+    names, pairs = [f"n{i:03d}" for i in range(110)], [(f"n{a:03d}", f"n{b:03d}") for a, b in pairs]
+    given, want = tables(spark, names, pairs), brandes(names, pairs)
+    monkeypatch.setattr(paths, "_SLOTS", 4)  # a hub has more
+    monkeypatch.setattr(paths.Blocks, "dependencies", None)
+    assert {r.id: r.betweenness for r in graph.betweenness(*given).collect()} == pytest.approx(want, abs=1e-11)
+    some = {r.id: r.betweenness for r in graph.betweenness(*given, sample=20).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(paths, "WHOLE", 0)
+    assert some == pytest.approx({r.id: r.betweenness for r in graph.betweenness(*given, sample=20).collect()}, abs=1e-11)
+
+
+def test_god_nodes_follows_the_paths_of_every_node(spark, monkeypatch):
+    from knotwork import queries
+
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(450), 2))) for _ in range(700)})
+    names, pairs = [f"n{i:03d}" for i in range(450)], [(f"n{a:03d}", f"n{b:03d}") for a, b in pairs]
+    nodes, edges = tables(spark, names, pairs)
+    monkeypatch.setattr(queries, "_live", lambda *_: nodes.withColumn("text", F.col("id")))
+    monkeypatch.setattr(queries, "undirected_graph", lambda *_: edges)
+    want = sorted(brandes(names, pairs).items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert {r.id: r.betweenness for r in queries.god_nodes(spark, "").collect()} == pytest.approx(dict(want), abs=1e-11)
