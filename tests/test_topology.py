@@ -5,7 +5,8 @@ from collections import Counter, deque
 
 import pytest
 
-from knotwork.operators import graph
+from knotwork.operators import graph, propagation
+from knotwork.sources.cut import cut
 
 
 def random_graph(n, m, seed, star=0):
@@ -83,3 +84,24 @@ def test_graphs_without_edges(spark):
     assert {r.id: r.community for r in graph.labels(nodes, pairs).collect()} == {"a": 0, "b": 1}
     assert {r.id: r.betweenness for r in graph.betweenness(nodes, pairs).collect()} == {"a": 0, "b": 0}
     assert graph.labels(nodes.limit(0), pairs).collect() == []
+
+
+def test_labels_over_several_rows_of_state_and_pieces_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(propagation, "STATE", 512)
+    monkeypatch.setattr(propagation, "ARCS", 300)
+    names, pairs = random_graph(2000, 3000, 9, star=700)
+    found = graph.labels(*tables(spark, names, pairs), part=700, hub=500)
+    assert {r.id: r.community for r in found.collect()} == one_by_one(names, pairs)
+
+
+def test_a_graph_of_one_part_is_swept_without_a_table_a_sweep(spark, monkeypatch):
+    written = []
+    for module in (graph, propagation):
+        monkeypatch.setattr(module, "cut", lambda rows: written.append(1) or cut(rows))
+    names = [f"n{i:05d}" for i in range(5000)]  # more nodes than 4096; labels move a step a sweep
+    pairs = list(zip(names, names[1:]))
+    rng = random.Random(2)
+    pairs += [tuple(sorted(rng.sample(names, 2))) for _ in range(3000)]
+    found = graph.labels(*tables(spark, names, pairs)).collect()
+    assert {r.id: r.community for r in found} == one_by_one(names, pairs)
+    assert len(written) <= 12
