@@ -159,8 +159,7 @@ def _admitted(before: DataFrame, after: DataFrame, edges: DataFrame | None) -> D
 
 def _consolidate_near(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     old = nodes.select("id", "status")
-    near = V.nearest(vectors, 1, DUPLICATE).select(F.col("source").alias("id"), F.col("target").alias("other"))
-    near = cut(near.join(old.where("status = 'probation'").select("id"), "id", "left_semi"))
+    near = cut(V.nearest(vectors, 1, DUPLICATE, old.where("status = 'probation'")).select(F.col("source").alias("id"), F.col("target").alias("other")))
     has = near.select(F.col("id").alias("other"), F.lit(True).alias("waits"))
     facts = near.join(old.select(F.col("id").alias("other"), F.col("status").alias("was")), "other").join(has, "other", "left")
     # An earlier probation node with a duplicate of its own is settled first; the others are known at once.

@@ -29,11 +29,17 @@ def dominant_dimension(vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(top.select("size")), F.size("vec") == F.col("size"), "left_semi")  # one row
 
 
-def _packed(vectors: DataFrame) -> DataFrame:
-    """(block, ids, data): the vectors in blocks of about ``BLOCK``, a row a block: ids in order, unit vectors as doubles."""
-    vectors = cut(vectors)
+def _blocks(vectors: DataFrame) -> int:
     size = vectors.count()
-    n = max(1, -(-size // BLOCK), min(16, -(-size // 2048)))
+    return max(1, -(-size // BLOCK), min(16, -(-size // 2048)))
+
+
+def _packed(vectors: DataFrame, n: int | None = None) -> DataFrame:
+    """(block, ids, data): the vectors in blocks of about ``BLOCK``, or ``n`` blocks, a row a block: ids in order, unit
+    vectors as doubles. An id's block depends on the id and ``n`` alone."""
+    if n is None:
+        vectors = cut(vectors)
+        n = _blocks(vectors)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
@@ -46,11 +52,11 @@ def _packed(vectors: DataFrame) -> DataFrame:
     return cut(dealt.groupBy("block").applyInPandas(pack, "block int, ids array<string>, data binary"))
 
 
-def _crossed(blocks: DataFrame, ordered: bool) -> DataFrame:
-    """Every block beside every other one and itself (once, i <= j, if ``ordered``). Tasks read the blocks where they are
+def _crossed(blocks: DataFrame, ordered: bool, asked: DataFrame | None = None) -> DataFrame:
+    """Every block, or those of ``asked``, beside every other one and itself (once, i <= j, if ``ordered``). Tasks read the blocks where they are
     stored, so nothing is shuffled or broadcast."""
-    side = lambda i, ids, data: blocks.select(F.col("block").alias(i), F.col("ids").alias(ids), F.col("data").alias(data))
-    both = side("i", "a", "x").hint("shuffle_replicate_nl").crossJoin(side("j", "b", "y"))  # the join of blocks is what is asked for
+    side = lambda blocks, i, ids, data: blocks.select(F.col("block").alias(i), F.col("ids").alias(ids), F.col("data").alias(data))
+    both = side(blocks if asked is None else asked, "i", "a", "x").hint("shuffle_replicate_nl").crossJoin(side(blocks, "j", "b", "y"))  # the join of blocks is what is asked for
     return both.where("i <= j") if ordered else both
 
 
@@ -119,6 +125,8 @@ class _Nearest:
 
     def meet(self, b: pa.Array, y: np.ndarray, same: bool) -> None:
         turned, k, rows, columns, scores = np.ascontiguousarray(y.T.astype(np.float32)), self.k, [], [], []
+        if same:  # a block of a's ids and maybe more: where each of a is
+            own = np.searchsorted(b.to_numpy(zero_copy_only=False), self.a.to_numpy(zero_copy_only=False))
         for row in range(0, len(self.x), TILE):
             part = slice(row, row + TILE)
             for column in range(0, len(y), 8 * TILE):
@@ -131,7 +139,7 @@ class _Nearest:
                 r, c = np.divmod(at, cos.shape[1])
                 c += column
                 if same:
-                    other = r + row != c
+                    other = own[r + row] != c
                     r, c = r[other], c[other]
                 score = np.round(np.einsum("ij,ij->i", self.x[r + row], y[c]), 9)
                 order = np.lexsort((c, -score, r))
@@ -155,9 +163,9 @@ class _Nearest:
             yield pa.RecordBatch.from_arrays([self.a.take(pa.array(r[good])), targets.take(pa.array(good)), pa.array(score[good])], names=["source", "target", "score"])
 
 
-def nearest(vectors: DataFrame, k: int = 3, low: float = -np.inf) -> DataFrame:
-    """The k nearest others of each vector, without those of a cosine under ``low``: (source, target, score, rank); no
-    row for k <= 0. A task hands on about k rows a vector, however many blocks it compares it with."""
+def nearest(vectors: DataFrame, k: int = 3, low: float = -np.inf, sources: DataFrame | None = None) -> DataFrame:
+    """The k nearest others of each vector, or of those of ``sources(id)``, without those of a cosine under ``low``:
+    (source, target, score, rank); no row for k <= 0. A task hands on about k rows a vector, however many blocks it compares it with."""
     schema = "source string, target string, score double"
 
     def match(it):
@@ -173,7 +181,10 @@ def nearest(vectors: DataFrame, k: int = 3, low: float = -np.inf) -> DataFrame:
 
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
-    found = _crossed(_packed(vectors), False).mapInArrow(match, schema)
+    vectors = cut(vectors)
+    n = _blocks(vectors)
+    asked = None if sources is None else _packed(vectors.join(sources.select("id"), "id", "left_semi"), n)
+    found = _crossed(_packed(vectors, n), False, asked).mapInArrow(match, schema)
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

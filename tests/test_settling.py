@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from knotwork.operators import ingest
+from knotwork.operators import ingest, transitions
+from knotwork.operators import vectors as V
 
 
 def in_turn(n, known, pairs):
@@ -33,3 +36,24 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     got = ingest._settled(order, order.limit(0).select("id"), chain)
     assert [r.fresh for r in got.orderBy("id").collect()] == [i % 2 == 0 for i in range(n)]
     assert len(rounds) == 2 + 3
+
+
+def test_consolidate_compares_only_the_nodes_that_wait(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 8))
+    v[200:] = v[rng.integers(0, 200, 200)] + rng.normal(size=(200, 8)) * 0.01  # near copies
+    rows = [(f"n{i:03d}", "probation" if i % 4 == 1 else "active", v[i].tolist()) for i in rng.permutation(400)]
+    nodes = spark.createDataFrame(rows, "id string, status string, vec array<double>").withColumn("source", F.col("id"))
+    vectors, asked = nodes.select("id", "vec"), []
+    crossed = V._crossed
+    monkeypatch.setattr(V, "_crossed", lambda *given: asked.append(crossed(*given)) or asked[-1])
+    found = {r.id: r.status for r in transitions.consolidate(nodes, vectors).select("id", "status").collect()}
+    assert {i for r in asked[0].select("a").collect() for i in r.a} == {i for i, status, _ in rows if status == "probation"}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, -1)
+    gone = {}
+    for i, name in enumerate(f"n{j:03d}" for j in range(400)):
+        other = int(np.argmax(np.round(cos[i], 9)))
+        gone[i] = i % 4 == 1 and cos[i, other] >= 0.92 and not gone.get(other, False)
+        assert found[name] == ("tombstone" if gone[i] else "active")
